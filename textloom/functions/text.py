@@ -162,14 +162,30 @@ def word_pair_text(left: Column, right: Column) -> Column:
     return pair_text(F.array_join(left, " "), F.array_join(right, " "))
 
 
+def _quoted_items(inner: Column, quote: str) -> Column:
+    """Items of ``'a', 'b'`` for one kind of quote; null when the text has another shape."""
+    body = F.substr(inner, F.lit(2), F.length(inner) - 2)
+    items = F.split(body, quote + r"\s*,\s*" + quote)
+    sound = (
+        (F.length(inner) >= 2) & F.startswith(inner, F.lit(quote)) & F.endswith(inner, F.lit(quote))
+        & F.forall(items, lambda x: ~F.contains(x, F.lit(quote)))
+    )
+    return F.when(sound, items)
+
+
 def parse_list_literal(cell: Column) -> Column:
     """``"['a', 'b']"`` -> array of strings, never evaluated as code.
 
-    Cells in plain single or double quotes go through ``from_json``; a cell with quotes or
-    escapes inside its items is null here, see ``operators.literals`` for those.
+    Covers lists with one kind of quote and no backslash. Other cells are null here; see
+    ``operators.literals`` for those.
     """
-    as_json = F.when(cell.rlike(r"^[^'\\]*$"), cell).when(
-        cell.rlike(r"^\s*\[\s*('[^'\"\\]*'\s*(,\s*'[^'\"\\]*'\s*)*,?\s*)?\]\s*$"),
-        F.regexp_replace(F.replace(cell, F.lit("'"), F.lit('"')), r",\s*\]\s*$", "]"),
+    bare = F.trim(cell)
+    listed = F.startswith(bare, F.lit("[")) & F.endswith(bare, F.lit("]")) & (F.length(bare) >= 2)
+    inner = F.regexp_replace(F.trim(F.substr(bare, F.lit(2), F.length(bare) - 2)), r"\s*,$", "")
+    single, double = F.contains(cell, F.lit("'")), F.contains(cell, F.lit('"'))
+    plain = listed & ~F.contains(cell, F.lit("\\"))
+    return (
+        F.when(plain & (inner == ""), F.array().cast("array<string>"))
+        .when(plain & single & ~double, _quoted_items(inner, "'"))
+        .when(plain & double & ~single, _quoted_items(inner, '"'))
     )
-    return F.from_json(as_json, "array<string>")

@@ -20,30 +20,31 @@ def _brevity(hyp_len: Column, ref_len: Column, equal_is_one: bool) -> Column:
     return F.when(hyp_len == 0, 0.0).when(long_enough, 1.0).otherwise(penalty)
 
 
-def bleu_from_totals(t: DataFrame) -> DataFrame:
-    """Unsmoothed BLEU times 100; 0 when any order has no match."""
-    logs = sum((F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in ORDERS), F.lit(0.0)) / 4
-    # No match or no possible n-gram of one order makes the geometric mean 0.
-    some = F.least(*[F.col(f"m{n}") for n in ORDERS]) > 0
+def bleu_column(prefix: str = "") -> Column:
+    """Unsmoothed BLEU times 100 from corpus totals; 0 when any order has no match."""
+    col = lambda name: F.col(prefix + name)
+    logs = sum((F.log(col(f"m{n}") / col(f"t{n}")) for n in ORDERS), F.lit(0.0)) / 4
+    # No match of one order makes the geometric mean 0.
+    some = F.least(*[col(f"m{n}") for n in ORDERS]) > 0
     score = F.when(some, F.exp(logs)).otherwise(0.0)
-    return t.select((_brevity(F.col("hyp_len"), F.col("ref_len"), False) * score * 100).alias("BLEU"))
+    return _brevity(col("hyp_len"), col("ref_len"), False) * score * 100
 
 
-def sacrebleu_from_totals(t: DataFrame) -> DataFrame:
+def sacrebleu_column(prefix: str = "") -> Column:
     """Exponentially smoothed BLEU, 0 to 100.
 
     Orders without possible n-grams end the loop with precision 0. Each order without a match
     doubles the smoothing divisor.
     """
+    col = lambda name: F.col(prefix + name)
     logs, divisor, alive = F.lit(0.0), F.lit(1.0), F.lit(True)
     for n in ORDERS:
-        m, possible = F.col(f"m{n}"), F.col(f"t{n}")
+        m, possible = col(f"m{n}"), col(f"t{n}")
         alive = alive & (possible > 0)
         divisor = F.when(alive & (m == 0), divisor * 2).otherwise(divisor)
         p = F.when(m == 0, 100.0 / (divisor * possible)).otherwise(100.0 * m / possible)
         logs = logs + F.when(alive, F.log(p)).otherwise(LOG_OF_ZERO)
-    score = _brevity(F.col("hyp_len"), F.col("ref_len"), True) * F.exp(logs / 4)
-    return t.select(score.alias("SacreBLEU"))
+    return _brevity(col("hyp_len"), col("ref_len"), True) * F.exp(logs / 4)
 
 
 def bleu(
@@ -52,7 +53,7 @@ def bleu(
 ) -> DataFrame:
     """One row ``BLEU``: order 4, one reference per row, Treebank tokens by default."""
     counts = ngram_overlap(df, {"b": Scheme(tokenize, ORDERS)}, id_col=id_col, hyp=hyp, label=label)
-    return bleu_from_totals(totals(counts, "b", ORDERS))
+    return totals(counts, "b", ORDERS).select(bleu_column().alias("BLEU"))
 
 
 def sacrebleu(
@@ -61,4 +62,4 @@ def sacrebleu(
 ) -> DataFrame:
     """One row ``SacreBLEU``: case-sensitive v13a tokens, exponential smoothing."""
     counts = ngram_overlap(df, {"s": Scheme(tokenize, ORDERS)}, id_col=id_col, hyp=hyp, label=label)
-    return sacrebleu_from_totals(totals(counts, "s", ORDERS))
+    return totals(counts, "s", ORDERS).select(sacrebleu_column().alias("SacreBLEU"))

@@ -103,19 +103,20 @@ def chunk_scores(df: DataFrame, hyp: str = "hyp", label: str = "label", acc: str
     )
 
 
+def _typed(kind: str) -> Column:
+    return F.transform(
+        F.col(kind),
+        lambda s: F.struct(
+            F.lit(kind).alias("kind"), F.substring_index(s, ":", 1).cast("int").alias("at"),
+            F.regexp_extract(s, r"(?s)^\d+:\d+:(.*)$", 1).alias("type"),
+        ),
+    )
+
+
 def chunk_scores_by_type(df: DataFrame, id_col: str = "id", hyp: str = "hyp", label: str = "label") -> DataFrame:
     """Counts and scores per chunk type, in order of first appearance (gold types first)."""
     kinds = ("gold", "guessed", "correct")
-    tagged = [
-        F.transform(
-            F.col(k),
-            lambda s, k=k: F.struct(
-                F.lit(k).alias("kind"), F.substring_index(s, ":", 1).cast("int").alias("at"),
-                F.regexp_extract(s, r"(?s)^\d+:\d+:(.*)$", 1).alias("type"),
-            ),
-        )
-        for k in kinds
-    ]
+    tagged = [_typed(k) for k in kinds]
     spans = sentence_chunks(df, hyp, label, keep=(id_col,)).select(
         id_col, F.inline(F.concat(*tagged))
     )

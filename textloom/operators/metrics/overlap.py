@@ -37,11 +37,17 @@ def ngram_overlap(
             f"_{name}_r", scheme.tokenize(F.col("_label"))
         )
 
+    for name, value in extra.items():
+        rows = rows.withColumn(f"_x_{name}", value)
+
     def cell(kind: int, gram: Column, h: Column, r: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), gram.alias("gram"), h.cast("bigint").alias("h"), r.cast("bigint").alias("r")
         )
 
+    def side(tokens: Column, n: int, kind: int, h: Column, r: Column) -> Column:
+        return F.transform(ngrams(tokens, n), lambda gram: cell(kind, gram, h, r))
+
     zero, one = F.lit(0), F.lit(1)
     cells, sums = [], []
     kind = 0
@@ -54,13 +60,13 @@ def ngram_overlap(
         sums.append(F.max(F.when(mine, F.col("r"))).alias(f"{name}_ref"))
         for n in scheme.orders:
             kind += 1
-            cells.append(F.transform(ngrams(h, n), lambda g, k=kind: cell(k, g, one, zero)))
-            cells.append(F.transform(ngrams(r, n), lambda g, k=kind: cell(k, g, zero, one)))
+            cells.append(side(h, n, kind, one, zero))
+            cells.append(side(r, n, kind, zero, one))
             matched = F.when(F.col("kind") == kind, F.least("h", "r")).otherwise(0)
             sums.append(F.sum(matched).alias(f"{name}_m{n}"))
         kind += 1
-    for name, value in extra.items():
-        singles.append(cell(kind, F.lit(""), value, zero))
+    for name in extra:
+        singles.append(cell(kind, F.lit(""), F.col(f"_x_{name}"), zero))
         sums.append(F.max(F.when(F.col("kind") == kind, F.col("h"))).alias(name))
         kind += 1
     grams = rows.select("id", F.explode(F.concat(F.array(*singles), *cells)).alias("c")).select("id", "c.*")

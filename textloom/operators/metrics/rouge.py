@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ...functions.text import rouge_text, rouge_tokens
 from .classification import ratio
@@ -16,6 +19,9 @@ from .overlap import Scheme, ngram_overlap
 
 LINE_SPLIT = "\n"
 
+# Ship the helpers below with the job, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def f_measure(hits: Column, hyp: Column, ref: Column) -> Column:
     """F1 of hits over the hypothesis and the reference size; 0 when either is empty."""
@@ -109,13 +115,13 @@ def union_hits(ref_lines: list[list[str]], hyp_lines: list[list[str]]) -> int:
     return hits
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def lcs_of_texts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """LCS length of two texts already normalised to space-separated tokens."""
     return pd.Series([lcs_length(h.split(), r.split()) for h, r in zip(hyp, ref)], dtype="int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def union_hits_of_lines(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """Summary-level hits of two arrays of normalised lines."""
     split = lambda lines: [line.split() for line in lines]
@@ -137,7 +143,8 @@ def rouge_rows(
     counts = ngram_overlap(
         df, schemes, id_col=id_col, hyp=hyp, label=label, extra=lcs_columns(kinds)
     )
-    return scores_from_overlap(counts, "r", kinds)
+    fields = scores_of("r")
+    return counts.select("id", *[fields[k].alias(k) for k in kinds])
 
 
 def lcs_columns(kinds: Sequence[str], hyp: str = "_hyp", label: str = "_label") -> dict[str, Column]:
@@ -149,17 +156,15 @@ def lcs_columns(kinds: Sequence[str], hyp: str = "_hyp", label: str = "_label")
     return out
 
 
-def scores_from_overlap(counts: DataFrame, scheme: str, kinds: Sequence[str]) -> DataFrame:
+def scores_of(scheme: str) -> dict[str, Column]:
+    """F measure columns over the counts of ``scheme``."""
     hyp, ref = F.col(f"{scheme}_hyp"), F.col(f"{scheme}_ref")
     grams = lambda size, n: F.greatest(size - (n - 1), F.lit(0))
     hits = {
         "ROUGE1": (f"{scheme}_m1", 1), "ROUGE2": (f"{scheme}_m2", 2),
         "ROUGEL": ("lcs", 1), "ROUGELsum": ("union_lcs", 1),
     }
-    return counts.select(
-        "id",
-        *[f_measure(F.col(hits[k][0]), grams(hyp, hits[k][1]), grams(ref, hits[k][1])).alias(k) for k in kinds],
-    )
+    return {k: f_measure(F.col(h), grams(hyp, n), grams(ref, n)) for k, (h, n) in hits.items()}
 
 
 def rouge(df: DataFrame, *, kinds: Sequence[str] = ("ROUGE1", "ROUGE2", "ROUGEL", "ROUGELsum"), **columns) -> DataFrame:

@@ -70,6 +70,13 @@ def _lookup(rows: DataFrame, vocab: DataFrame, key: str, value: str, small: bool
     )
 
 
+def _slotted(array: Column, slot: int, key: str) -> Column:
+    """Array elements with the number of their array and their position."""
+    return F.transform(
+        array, lambda x, i: F.struct(F.lit(slot).alias("slot"), i.alias("pos"), x.alias(key))
+    )
+
+
 def map_arrays(
     df: DataFrame, id_col: str, arrays: dict[str, Column], vocab: DataFrame, *,
     key: str = "token", value: str = "token_id", small: bool | None = None,
@@ -84,10 +91,7 @@ def map_arrays(
     if small is None:
         small = fits_broadcast(vocab)
     kind = "bigint" if value == "token_id" else "string"
-    tagged = [
-        F.transform(col, lambda t, i, s=slot: F.struct(F.lit(s).alias("slot"), i.alias("pos"), t.alias(key)))
-        for slot, col in enumerate(arrays.values())
-    ]
+    tagged = [_slotted(col, slot, key) for slot, col in enumerate(arrays.values())]
     exploded = (
         df.repartition(F.col(id_col))
         .select(F.col(id_col), F.explode_outer(F.concat(*tagged)).alias("e"))
