@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.dialogue import pair_turns
+from ..session import spread
 
 LANGUAGES = ["de", "en", "es", "fr"]
 TAGS = ["B-X", "I-X", "B-Y", "I-Y", "O"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,44 +28,43 @@ V13A_PATTERNS = [
     (r"([0-9])(-)", "$1 $2 "),
 ]
 
-# Penn Treebank word tokenisation (public word-tokenizer rules), in order of application.
-TREEBANK_OPENING = [
-    (r"(?U)([«“‘„]|[`]+)", " $1 "),
-    (r'^\"', "``"),
-    (r"(``)", " $1 "),
-    (r"([ \(\[{<])(\"|'{2})", "$1 `` "),
-    (r"(?iU)(')(?!re|ve|ll|m|t|s|d)(\w)\b", "$1 $2"),
+# Penn Treebank word tokenisation (public word-tokenizer rules) in order of application. A step
+# is the texts one of which must occur for its patterns to match, and the patterns.
+TREEBANK_STEPS = [
+    (["«", "“", "‘", "„", "`"], [(r"([«“‘„]|[`]+)", " $1 ")]),
+    (['"', "''", "``"], [(r'^\"', "``"), (r"(``)", " $1 "), (r"([ \(\[{<])(\"|'{2})", "$1 `` ")]),
+    (["'"], [(r"(?iU)(')(?!re|ve|ll|m|t|s|d)(\w)\b", "$1 $2")]),
+    # The stop at the end. A later, narrower rule for it can match nothing new.
+    (["."], [(r"(?U)(?<=[^\.])(\.)([\]\)}>\"'»”’ ]*)\s*$", " $1 $2 ")]),
+    ([":", ","], [(r"(?U)([:,])([^\d])", " $1 $2"), (r"([:,])$", " $1 ")]),
+    (["..."], [(r"\.\.\.", " ... ")]),
+    ([";", "@", "#", "$", "%", "&"], [(r"([;@#\$%&])", " $1 ")]),
+    (["?", "!"], [(r"([?!])", " $1 ")]),
+    (["' "], [(r"([^'])' ", "$1 ' ")]),
+    (["[", "]", "(", ")", "{", "}", "<", ">"], [(r"([\]\[\(\)\{\}<>])", " $1 ")]),
+    (["--"], [(r"--", " -- ")]),
 ]
-TREEBANK_PUNCTUATION = [
-    (r"(?U)([^\.])(\.)([\]\)}>\"'»”’ ]*)\s*$", "$1 $2 $3 "),
-    (r"(?U)([:,])([^\d])", " $1 $2"),
-    (r"([:,])$", " $1 "),
-    (r"\.\.\.", " ... "),
-    (r"([;@#\$%&])", " $1 "),
-    (r"(?U)([^\.])(\.)([\]\)}>\"']*)\s*$", "$1 $2$3 "),
-    (r"([?!])", " $1 "),
-    (r"([^'])' ", "$1 ' "),
-    (r"([\]\[\(\)\{\}<>])", " $1 "),
-    (r"--", " -- "),
-]
-TREEBANK_CLOSING = [
-    (r"([»”’])", " $1 "),
-    (r"''", " '' "),
-    (r'"', " '' "),
-    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+# After one space has been put around the sentence.
+TREEBANK_LAST_STEPS = [
+    (["»", "”", "’"], [(r"([»”’])", " $1 ")]),
+    (["''"], [(r"''", " '' ")]),
+    (['"'], [(r'"', " '' ")]),
+    (["'"], [
+        (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+        (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    ]),
 ]
 TREEBANK_CONTRACTIONS = [
-    (r"(?iU)\b(can)(not)\b", " $1 $2 "),
-    (r"(?iU)\b(d)('ye)\b", " $1 $2 "),
-    (r"(?iU)\b(gim)(me)\b", " $1 $2 "),
-    (r"(?iU)\b(gon)(na)\b", " $1 $2 "),
-    (r"(?iU)\b(got)(ta)\b", " $1 $2 "),
-    (r"(?iU)\b(lem)(me)\b", " $1 $2 "),
-    (r"(?iU)\b(mor)('n)\b", " $1 $2 "),
-    (r"(?iU)\b(wan)(na)\s", " $1 $2 "),
-    (r"(?iU) ('t)(is)\b", " $1 $2 "),
-    (r"(?iU) ('t)(was)\b", " $1 $2 "),
+    ("cannot", r"(?iU)\b(can)(not)\b"),
+    ("d'ye", r"(?iU)\b(d)('ye)\b"),
+    ("gimme", r"(?iU)\b(gim)(me)\b"),
+    ("gonna", r"(?iU)\b(gon)(na)\b"),
+    ("gotta", r"(?iU)\b(got)(ta)\b"),
+    ("lemme", r"(?iU)\b(lem)(me)\b"),
+    ("mor'n", r"(?iU)\b(mor)('n)\b"),
+    ("wanna", r"(?iU)\b(wan)(na)\s"),
+    ("'tis", r"(?iU) ('t)(is)\b"),
+    ("'twas", r"(?iU) ('t)(was)\b"),
 ]
 ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "st", "vs", "etc", "e.g", "i.e", "no")
 
@@ -82,7 +81,7 @@ def _replace_all(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def words(text: Column) -> Column:
     """White-space words."""
-    return F.filter(F.split(text, WHITESPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, WHITESPACE), "")
 
 
 def lower_words(text: Column) -> Column:
@@ -107,7 +106,7 @@ def rouge_text(text: Column) -> Column:
 
 
 def rouge_tokens(text: Column) -> Column:
-    return F.filter(F.split(rouge_text(text), " "), lambda w: w != "")
+    return F.array_remove(F.split(rouge_text(text), " "), "")
 
 
 def sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
@@ -121,20 +120,39 @@ def sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> C
     marked = F.regexp_replace(
         text, rf"(?U)([.?!][\"'\)\]}}»”’]*){guard}\s+", "$1" + SENTENCE_BREAK
     )
-    return F.filter(F.split(marked, SENTENCE_BREAK), lambda s: s != "")
+    return F.array_remove(F.split(marked, SENTENCE_BREAK), "")
+
+
+def _any_in(text: Column, needles: list[str]) -> Column:
+    return reduce(lambda acc, n: acc | F.contains(text, F.lit(n)), needles[1:], F.contains(text, F.lit(needles[0])))
+
+
+def _steps(parts: Column, steps: list[tuple[list[str], list[tuple[str, str]]]]) -> Column:
+    """Apply gated steps to every text of an array; a plain search is cheaper than a pattern."""
+    for needles, patterns in steps:
+        parts = F.transform(parts, _gated(needles, patterns))
+    return parts
+
+
+def _gated(needles: list[str], patterns: list[tuple[str, str]]):
+    return lambda s: F.when(_any_in(s, needles), _replace_all(s, patterns)).otherwise(s)
 
 
-def treebank_sentence(sentence: Column) -> Column:
-    """Penn-Treebank tokens of one sentence, as text separated by white space."""
-    out = _replace_all(sentence, TREEBANK_OPENING + TREEBANK_PUNCTUATION)
-    out = F.concat(F.lit(" "), out, F.lit(" "))
-    return _replace_all(out, TREEBANK_CLOSING + TREEBANK_CONTRACTIONS)
+def treebank_sentences(parts: Column) -> Column:
+    """Array of sentences -> array of their Penn-Treebank tokens, separated by white space."""
+    out = _steps(parts, TREEBANK_STEPS)
+    out = F.transform(out, lambda s: F.concat(F.lit(" "), s, F.lit(" ")))
+    out = _steps(out, TREEBANK_LAST_STEPS)
+    contracted = lambda s: F.when(
+        _any_in(F.lower(s), [n for n, _ in TREEBANK_CONTRACTIONS]),
+        _replace_all(s, [(p, " $1 $2 ") for _, p in TREEBANK_CONTRACTIONS]),
+    ).otherwise(s)
+    return F.transform(out, contracted)
 
 
 def treebank_tokens(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
     """Sentence split, then Treebank tokens, in text order."""
-    split = F.transform(sentences(text, abbreviations), treebank_sentence)
-    return words(F.array_join(split, " "))
+    return words(F.array_join(treebank_sentences(sentences(text, abbreviations)), " "))
 
 
 def normalise_answer(text: Column) -> Column:

@@ -14,53 +14,52 @@ from ...functions.arrays import take
 from .classification import from_counts
 
 
-def _parts(tags: Column) -> Column:
-    outside = F.array(F.struct(F.lit("O").alias("p"), F.lit("").alias("t")))
-    split = F.transform(
-        tags,
-        lambda tag: F.struct(
-            F.substring_index(tag, "-", 1).alias("p"),
-            F.substr(tag, F.length(F.substring_index(tag, "-", 1)) + 2).alias("t"),
-        ),
-    )
-    return F.concat(outside, split, outside)
+# Prefixes as bits, so that a border is a few integer tests.
+B, I, E, S, O, DOT = 1, 2, 4, 8, 16, 32
+START, END = 1, 2
 
 
-def _starts(last: Column, now: Column) -> Column:
-    return (
-        now["p"].isin("B", "S")
-        | (last["p"].isin("E", "S", "O") & now["p"].isin("E", "I"))
-        | (~now["p"].isin("O", ".") & (last["t"] != now["t"]))
-    )
+def _parts(tags: Column) -> Column:
+    """Tag -> (prefix bit, type)."""
 
+    def part(tag: Column) -> Column:
+        prefix = F.substring_index(tag, "-", 1)
+        bit = F.when(prefix == "O", O).when(prefix == "B", B).when(prefix == "I", I).when(prefix == "E", E)
+        bit = bit.when(prefix == "S", S).when(prefix == ".", DOT).otherwise(0)
+        kind = F.when(prefix == tag, "").otherwise(F.substr(tag, F.length(prefix) + 2))
+        return F.struct(bit.alias("p"), kind.alias("t"))
 
-def _ends(last: Column, now: Column) -> Column:
-    return (
-        last["p"].isin("E", "S")
-        | (last["p"].isin("B", "I") & now["p"].isin("B", "S", "O"))
-        | (~last["p"].isin("O", ".") & (last["t"] != now["t"]))
-    )
+    return F.transform(tags, part)
 
 
-def _borders(parts: str, test) -> Column:
-    """Positions i with a border between part i and part i + 1, paired with the type there."""
-    steps = F.sequence(F.lit(0), F.size(parts) - 2)
-    hit = F.filter(steps, lambda i: test(F.get(parts, i), F.get(parts, i + 1)))
-    return F.transform(hit, lambda i: F.struct(i.alias("at"), F.get(parts, i + 1)["t"].alias("t")))
+def _border(last: Column, now: Column) -> Column:
+    """START if a chunk starts here, plus END if one ended just before."""
+    is_in = lambda part, bits: part["p"].bitwiseAND(bits) != 0
+    changed = last["t"] != now["t"]
+    starts = is_in(now, B | S) | (is_in(last, E | S | O) & is_in(now, E | I)) | (changed & ~is_in(now, O | DOT))
+    ends = is_in(last, E | S) | (is_in(last, B | I) & is_in(now, B | S | O)) | (changed & ~is_in(last, O | DOT))
+    quiet = is_in(last, O) & is_in(now, O)
+    return F.when(quiet, 0).otherwise(F.when(starts, START).otherwise(0) + F.when(ends, END).otherwise(0))
 
 
 def _spans(df: DataFrame, side: str) -> DataFrame:
     """Chunks as strings ``start:end:type``. A chunk ends where the next border of its side is."""
-    parts = f"_{side}_parts"
-    df = df.withColumn(parts, _parts(F.col(f"_{side}")))
-    df = df.withColumn(f"_{side}_starts", _borders(parts, _starts)).withColumn(
-        f"_{side}_ends", _borders(parts, _ends)
+    parts, borders = f"_{side}_parts", f"_{side}_borders"
+    outside = F.array(F.struct(F.lit(O).alias("p"), F.lit("").alias("t")))
+    has = lambda code, bit: code.bitwiseAND(bit) != 0
+    starts = F.transform(
+        borders, lambda c, i: F.when(has(c, START), F.concat_ws(":", i.cast("string"), F.get(parts, i)["t"]))
     )
-    spans = F.zip_with(
-        f"_{side}_starts", f"_{side}_ends",
-        lambda s, e: F.concat_ws(":", s["at"].cast("string"), e["at"].cast("string"), s["t"]),
+    ends = F.transform(borders, lambda c, i: F.when(has(c, END), i))
+    joined = F.zip_with(
+        F.array_compact(starts), F.array_compact(ends),
+        lambda s, e: F.concat_ws(":", F.substring_index(s, ":", 1), e.cast("string"), F.substr(s, F.instr(s, ":") + 1)),
+    )
+    return (
+        df.withColumn(parts, _parts(F.col(f"_{side}")))
+        .withColumn(borders, F.zip_with(F.concat(outside, parts), F.concat(parts, outside), _border))
+        .withColumn(f"_{side}_spans", joined)
     )
-    return df.withColumn(f"_{side}_spans", F.filter(spans, lambda x: x.isNotNull()))
 
 
 def sentence_chunks(df: DataFrame, hyp: str = "hyp", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:

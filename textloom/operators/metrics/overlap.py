@@ -38,42 +38,37 @@ def ngram_overlap(
         )
 
     for name, value in extra.items():
-        rows = rows.withColumn(f"_x_{name}", value)
+        rows = rows.withColumn(f"_x_{name}", value.cast("bigint"))
 
-    def cell(kind: int, gram: Column, h: Column, r: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), gram.alias("gram"), h.cast("bigint").alias("h"), r.cast("bigint").alias("r")
-        )
-
-    def side(tokens: Column, n: int, kind: int, h: Column, r: Column) -> Column:
-        return F.transform(ngrams(tokens, n), lambda gram: cell(kind, gram, h, r))
-
-    zero, one = F.lit(0), F.lit(1)
-    cells, sums = [], []
-    kind = 0
-    singles = []
+    # A group is (kind, weight, grams): per scheme and order one group of each side, where
+    # hypothesis grams weigh 1 and reference grams 0. Numbers of the row itself travel as the
+    # weight of one empty gram.
+    groups, sums, kind = [], [], 0
+    numbers = {name: F.col(f"_x_{name}") for name in extra}
     for name, scheme in schemes.items():
         h, r = F.col(f"_{name}_h"), F.col(f"_{name}_r")
-        singles.append(cell(kind, F.lit(""), F.size(h), F.size(r)))
-        mine = F.col("kind") == kind
-        sums.append(F.max(F.when(mine, F.col("h"))).alias(f"{name}_hyp"))
-        sums.append(F.max(F.when(mine, F.col("r"))).alias(f"{name}_ref"))
+        numbers[f"{name}_hyp"], numbers[f"{name}_ref"] = F.size(h), F.size(r)
         for n in scheme.orders:
+            groups += [_group(kind, F.lit(1), ngrams(h, n)), _group(kind, F.lit(0), ngrams(r, n))]
+            clipped = F.least(F.col("hyp_n"), F.col("both_n") - F.col("hyp_n"))
+            sums.append(F.sum(F.when(F.col("kind") == kind, clipped).otherwise(0)).alias(f"{name}_m{n}"))
             kind += 1
-            cells.append(side(h, n, kind, one, zero))
-            cells.append(side(r, n, kind, zero, one))
-            matched = F.when(F.col("kind") == kind, F.least("h", "r")).otherwise(0)
-            sums.append(F.sum(matched).alias(f"{name}_m{n}"))
+    for name, value in numbers.items():
+        groups.append(_group(kind, value, F.array(F.lit(""))))
+        sums.append(F.max(F.when(F.col("kind") == kind, F.col("hyp_n"))).alias(name))
         kind += 1
-    for name in extra:
-        singles.append(cell(kind, F.lit(""), F.col(f"_x_{name}"), zero))
-        sums.append(F.max(F.when(F.col("kind") == kind, F.col("h"))).alias(name))
-        kind += 1
-    grams = rows.select("id", F.explode(F.concat(F.array(*singles), *cells)).alias("c")).select("id", "c.*")
-    counted = grams.groupBy("id", "kind", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    nested = rows.select("id", F.inline(F.array(*groups)))
+    grams = nested.select("id", "kind", "weight", F.explode("grams").alias("gram"))
+    counted = grams.groupBy("id", "kind", "gram").agg(
+        F.sum("weight").alias("hyp_n"), F.count(F.lit(1)).alias("both_n")
+    )
     return counted.groupBy("id").agg(*sums)
 
 
+def _group(kind: int, weight: Column, grams: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), weight.cast("bigint").alias("weight"), grams.alias("grams"))
+
+
 def totals(overlap: DataFrame, scheme: str, orders: tuple[int, ...]) -> DataFrame:
     """Corpus sums: ``m<n>``, possible n-grams ``t<n>``, ``hyp_len``, ``ref_len``."""
     hyp, ref = F.col(f"{scheme}_hyp"), F.col(f"{scheme}_ref")

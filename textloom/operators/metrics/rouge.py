@@ -51,15 +51,21 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _matched_positions(ref: list[str], can: list[str], rows: list[int]) -> set[int]:
-    """Reference positions of one LCS, walking back through the stored rows.
+def _matched_positions(ref: list[str], can: list[str]) -> set[int]:
+    """Reference positions of one LCS, walking back from the end.
 
-    ``rows[i]`` holds the state after ``i`` reference tokens over the candidate's positions. On
-    unequal tokens the walk goes left only if the left value is larger than the upper one.
+    On unequal tokens the walk goes left only if the left value is larger than the upper one.
+    The value at (i, j) is the number of zero bits among the first j of row i.
     """
+    upto = (1 << len(can)) - 1
+    where = _columns_of(can)
+    rows = [upto]
+    for token in ref:
+        row = rows[-1]
+        hit = row & where.get(token, 0)
+        rows.append(((row + hit) | (row - hit)) & upto)
     i, j = len(ref), len(can)
     found = set()
-    upto = (1 << j) - 1
     while i > 0 and j > 0:
         if ref[i - 1] == can[j - 1]:
             found.add(i - 1)
@@ -77,42 +83,30 @@ def _matched_positions(ref: list[str], can: list[str], rows: list[int]) -> set[i
 def union_hits(ref_lines: list[list[str]], hyp_lines: list[list[str]]) -> int:
     """Summary-level hits: per reference line the union of its LCS with every hypothesis line.
 
-    All hypothesis lines share one bit row, a zero guard bit after each line stops carries. A
-    token counts only while both sides still have one left.
+    A position can only be matched by a line that holds its token. So the lines are looked up
+    by token, rare tokens first, and a position already matched asks for no further line. A
+    token counts at most as often as the hypothesis has it.
     """
     if len(ref_lines) == 1 and len(hyp_lines) == 1:
         return lcs_length(ref_lines[0], hyp_lines[0])
-    left_ref, left_hyp = Counter(), Counter()
-    where: dict[str, int] = {}
-    spans, full, at = [], 0, 0
+    available = Counter(token for line in hyp_lines for token in line)
+    holders: dict[str, list[int]] = {}
+    for n, line in enumerate(hyp_lines):
+        for token in dict.fromkeys(line):
+            holders.setdefault(token, []).append(n)
+    matched: Counter = Counter()
     for line in ref_lines:
-        left_ref.update(line)
-    for line in hyp_lines:
-        left_hyp.update(line)
-        for k, token in enumerate(line):
-            where[token] = where.get(token, 0) | (1 << (at + k))
-        full |= ((1 << len(line)) - 1) << at
-        spans.append((at, line))
-        at += len(line) + 1
-    hits = 0
-    for line in ref_lines:
-        row, rows = full, [full]
-        for token in line:
-            hit = row & where.get(token, 0)
-            row = ((row + hit) | (row - hit)) & full
-            rows.append(row)
         union: set[int] = set()
-        for start, can in spans:
-            bits = (1 << len(can)) - 1
-            if can and (rows[-1] >> start) & bits != bits:
-                union |= _matched_positions(line, can, [(r >> start) & bits for r in rows])
-        for i in sorted(union):
-            token = line[i]
-            if left_hyp[token] > 0 and left_ref[token] > 0:
-                hits += 1
-                left_hyp[token] -= 1
-                left_ref[token] -= 1
-    return hits
+        seen: set[int] = set()
+        for i in sorted(range(len(line)), key=lambda i: len(holders.get(line[i], ()))):
+            for n in holders.get(line[i], ()):
+                if i in union:
+                    break
+                if n not in seen:
+                    seen.add(n)
+                    union |= _matched_positions(line, hyp_lines[n])
+        matched.update(line[i] for i in union)
+    return sum(min(n, available[token]) for token, n in matched.items())
 
 
 @F.pandas_udf(LongType())

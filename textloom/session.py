@@ -44,3 +44,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and is computed once."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores.
+
+    A small file may be one split, which would leave all row-wise work to one core. A table
+    with enough splits is left as it is, so large inputs get no extra shuffle. Use it on a
+    table as read, before any shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
