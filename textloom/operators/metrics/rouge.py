@@ -51,30 +51,32 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _matched_positions(ref: list[str], can: list[str]) -> set[int]:
-    """Reference positions of one LCS, walking back from the end.
+def _matched_positions(ref: Sequence[str], where: dict[str, int], width: int) -> list[int]:
+    """Reference positions of one LCS with a line of ``width`` tokens, walking back from the end.
 
-    On unequal tokens the walk goes left only if the left value is larger than the upper one.
-    The value at (i, j) is the number of zero bits among the first j of row i.
+    ``where`` has the bit set of every token of that line. On unequal tokens the walk goes left
+    only if the left value is larger than the upper one; the value at (i, j) is the number of
+    zero bits among the first j of row i. A reference token the line does not hold repeats the
+    row above it, so the walk always passes it upwards and it can be left out.
     """
-    upto = (1 << len(can)) - 1
-    where = _columns_of(can)
-    rows = [upto]
-    for token in ref:
-        row = rows[-1]
-        hit = row & where.get(token, 0)
-        rows.append(((row + hit) | (row - hit)) & upto)
-    i, j = len(ref), len(can)
-    found = set()
-    while i > 0 and j > 0:
-        if ref[i - 1] == can[j - 1]:
-            found.add(i - 1)
-            i, j, upto = i - 1, j - 1, upto >> 1
-            continue
-        left = (~rows[i] & (upto >> 1)).bit_count()
-        above = (~rows[i - 1] & upto).bit_count()
-        if left > above:
-            j, upto = j - 1, upto >> 1
+    kept = [(i, where[token]) for i, token in enumerate(ref) if token in where]
+    if len(kept) < 2:
+        return [i for i, _ in kept]
+    row = full = (1 << width) - 1
+    rows = [row]
+    for _, bits in kept:
+        hit = row & bits
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    i, upto, found = len(kept), full, []
+    while i and upto:
+        at, bits = kept[i - 1]
+        shorter = upto >> 1
+        if bits & (upto ^ shorter):
+            found.append(at)
+            i, upto = i - 1, shorter
+        elif (~rows[i] & shorter).bit_count() > (~rows[i - 1] & upto).bit_count():
+            upto = shorter
         else:
             i -= 1
     return found
@@ -90,9 +92,10 @@ def union_hits(ref_lines: list[list[str]], hyp_lines: list[list[str]]) -> int:
     if len(ref_lines) == 1 and len(hyp_lines) == 1:
         return lcs_length(ref_lines[0], hyp_lines[0])
     available = Counter(token for line in hyp_lines for token in line)
+    places = [_columns_of(line) for line in hyp_lines]
     holders: dict[str, list[int]] = {}
-    for n, line in enumerate(hyp_lines):
-        for token in dict.fromkeys(line):
+    for n, where in enumerate(places):
+        for token in where:
             holders.setdefault(token, []).append(n)
     matched: Counter = Counter()
     for line in ref_lines:
@@ -104,7 +107,7 @@ def union_hits(ref_lines: list[list[str]], hyp_lines: list[list[str]]) -> int:
                     break
                 if n not in seen:
                     seen.add(n)
-                    union |= _matched_positions(line, hyp_lines[n])
+                    union.update(_matched_positions(line, places[n], len(hyp_lines[n])))
         matched.update(line[i] for i in union)
     return sum(min(n, available[token]) for token, n in matched.items())
 
