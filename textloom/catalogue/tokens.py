@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions import text as T
-from ..operators import alignment, vocab
+from ..operators import alignment, subword, vocab
 from . import inputs as I
 from .registry import query
 
@@ -130,6 +130,39 @@ def sql_spread(pieces_: str) -> str:
     return f"flatten(list_transform({pieces_}, lambda p, i: list_transform(p, lambda q: i - 1)))"
 
 
+def small_model(spark, folder, top_words: int = 2000) -> bytes:
+    """SentencePiece model for the query below, from the most frequent words and all characters.
+
+    Both lists are bounded: ``top_words`` rows, and one row per character of Unicode at most.
+    """
+    import io
+
+    import sentencepiece
+
+    words = I.documents(spark, folder).select(F.explode(T.words(F.col("text"))).alias("w"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    frequent = [r.w for r in counts.orderBy(F.desc("n"), "w").limit(top_words).collect()]
+    letters = counts.select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").distinct().orderBy("c")
+    alphabet = [r.c for r in letters.collect()]
+    model = io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(frequent + alphabet), model_writer=model, model_type="bpe", character_coverage=1.0,
+        vocab_size=len(alphabet) + 300, hard_vocab_limit=False, normalization_rule_name="identity", num_threads=1,
+        minloglevel=2,
+    )
+    return model.getvalue()
+
+
+@query("subword_round_trip", f"with {I.WORDS_SQL} select id, array_to_string(w, ' ') text from words")
+def subword_round_trip(spark, folder):
+    """Words -> SentencePiece ids -> words."""
+    model = small_model(spark, folder)
+    special = subword.overrides(0, {}, "plain")
+    encode, decode = subword.encoder(spark, model, special), subword.decoder(spark, model, special)
+    ids = I.word_table(spark, folder).select("id", encode(F.array_join("words", " ")).alias("ids"))
+    return ids.select("id", decode(F.col("ids")).alias("text"))
+
+
 @query("word_alignment", f"""with {I.WORDS_SQL}, p as (select id, {sql_pieces('w')} p from words)
 select id, array_to_string(list_concat(list_concat([1], flatten(p)), [2]), ' ') ids,
 array_to_string(list_concat(list_concat([-1], {sql_spread('p')}), [-1]), ' ') word_index from p""")

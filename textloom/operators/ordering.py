@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 1024
+ROWS_PER_BLOCK = 250_000
+MAX_BLOCKS = 4096
 SAMPLE_PER_BLOCK = 64
 
 
-def _range_block(df: DataFrame, key: Column, rows_per_block: int) -> Column:
+def _range_block(df: DataFrame, key: Column, rows_per_block: int) -> Column | None:
     """Block number of ``key``, non-decreasing in key order, from bounds sampled once.
 
-    The bounds become literals, so every later pass, retry or re-plan cuts the same way.
+    None when the counted rows fit one block. The bounds become literals, so every later pass, retry or re-plan cuts the same way.
     """
     keys = df.select(key.alias("key"))
     total = keys.count()
     blocks = min(MAX_BLOCKS, -(-total // rows_per_block)) if total else 1
     if blocks <= 1:
-        return F.lit(0)
+        return None
     fraction = min(1.0, SAMPLE_PER_BLOCK * blocks / total)
     sample = [r.key for r in keys.sample(fraction=fraction, seed=17).orderBy("key").collect()]
     bounds = [sample[len(sample) * i // blocks] for i in range(1, blocks)] if sample else []
@@ -63,6 +63,9 @@ def running_sum(
     key = F.struct(*[F.col(c) for c in order])
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     block = _range_block(df, key, rows_per_block)
+    up_to_here = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if block is None:
+        return df.withColumn(out, F.coalesce(F.sum(amount).over(up_to_here(Window)), F.lit(0)))
     per_block = df.select(block.alias("_block"), amount.alias("_w")).groupBy("_block").agg(
         F.sum("_w").alias("_w")
     )
@@ -71,7 +74,7 @@ def running_sum(
     offsets = per_block.select(
         F.col("_block"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = up_to_here(Window.partitionBy("_block"))
     return (
         df.withColumn("_block", block)
         .withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))

@@ -76,56 +76,53 @@ def epoch_losses(batches: DataFrame, by: Sequence[str], loss: str = "loss", test
     return batches.groupBy(*by).agg(F.avg(loss).alias("mean_loss"), F.sum(loss).alias("sum_loss"))
 
 
-def evaluations(
-    runs: DataFrame, exp: str = "exp", epoch: str = "epoch", metric: str = "metric",
-    evaluate_every: int = 1,
+def levels(
+    runs: DataFrame, exp: str = "exp", epoch: str = "epoch", metric: str = "metric", evaluate_every: int = 1,
 ) -> DataFrame:
-    """Evaluated epochs in order: running best, improvement, evaluations since the last one.
+    """Stretches of evaluations under one best metric: ``(exp, best, first, last)``.
 
-    ``epoch`` counts densely from 1.
+    ``epoch`` counts densely from 1 and ``first`` and ``last`` count evaluations from 0. A
+    stretch starts at an improvement (strictly above the best before); one before any
+    improvement has the start value as its best.
     """
     seen = runs.where(F.col(epoch) % evaluate_every == 0).select(
-        F.col(exp).alias("exp"), F.col(epoch).cast("bigint").alias("epoch"), F.col(metric).alias("metric"),
-        (F.floor(F.col(epoch) / evaluate_every) - 1).alias("step"),
+        F.col(exp).alias("exp"), (F.floor(F.col(epoch) / evaluate_every) - 1).alias("step"),
+        F.greatest(F.col(metric).cast("double"), F.lit(START_METRIC)).alias("metric"),
     )
-    best = ordering.group_running_max(seen, ["exp"], "step", "metric", "best_before", include_current=False)
-    flagged = best.withColumn(
-        "improved", F.col("metric") > F.coalesce(F.greatest("best_before", F.lit(START_METRIC)), F.lit(START_METRIC))
-    ).withColumn("improved_step", F.when(F.col("improved"), F.col("step")))
-    last = ordering.group_running_max(
-        flagged, ["exp"], "step", "improved_step", "last_improved", include_current=True
-    )
-    return last.withColumn(
-        "count_stop", F.col("step") - F.coalesce(F.col("last_improved"), F.lit(-1))
-    ).drop("improved_step", "last_improved")
+    best = ordering.group_running_max(seen, ["exp"], "step", "metric", "best", include_current=True)
+    return best.groupBy("exp", "best").agg(F.min("step").alias("first"), F.max("step").alias("last"))
+
 
+def _stop_step(limit: int) -> Column:
+    """Evaluation of a stretch at which ``limit`` of them have not improved, or null."""
+    improved = F.col("best") > START_METRIC
+    at = F.col("first") + F.when(improved, limit).otherwise(limit - 1)
+    return F.when(at <= F.col("last"), at)
 
-def early_stop(runs: DataFrame, limit: int = 3, **columns) -> DataFrame:
+
+def early_stop(runs: DataFrame, limit: int = 3, evaluate_every: int = 1, **columns) -> DataFrame:
     """``(exp, stop_epoch)``: first evaluation with ``limit`` evaluations without improvement.
 
     ``stop_epoch`` is null for a run that never stops early.
     """
-    return evaluations(runs, **columns).groupBy("exp").agg(
-        F.min(F.when(F.col("count_stop") >= limit, F.col("epoch"))).alias("stop_epoch")
-    )
+    found = levels(runs, evaluate_every=evaluate_every, **columns).groupBy("exp")
+    return found.agg(((F.min(_stop_step(limit)) + 1) * evaluate_every).alias("stop_epoch"))
 
 
-def best_epoch(runs: DataFrame, limit: int | None = 3, **columns) -> DataFrame:
+def best_epoch(runs: DataFrame, limit: int | None = 3, evaluate_every: int = 1, **columns) -> DataFrame:
     """``(exp, best_epoch, best_metric)``; epochs after an early stop do not count.
 
     The first of equal metrics wins. Null when no metric ever beats the start value.
     """
-    seen = evaluations(runs, **columns)
-    if limit is not None:
-        stops = seen.groupBy("exp").agg(
-            F.min(F.when(F.col("count_stop") >= limit, F.col("epoch"))).alias("stop_epoch")
-        )
-        seen = seen.join(stops, "exp").where(
-            F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch"))
-        )
-    wins = F.when(F.col("improved"), F.struct("metric", (-F.col("epoch")).alias("e")))
-    return seen.groupBy("exp").agg(F.max(wins).alias("w")).select(
-        "exp", (-F.col("w.e")).alias("best_epoch"), F.col("w.metric").alias("best_metric")
+    here = F.struct(F.col("first"), F.col("best"))
+    stopped = F.min(F.when(_stop_step(limit).isNotNull(), here)) if limit is not None else F.lit(None)
+    chosen = levels(runs, evaluate_every=evaluate_every, **columns).groupBy("exp").agg(
+        F.coalesce(stopped, F.max(here)).alias("level")
+    )
+    improved = F.col("level.best") > START_METRIC
+    return chosen.select(
+        "exp", F.when(improved, (F.col("level.first") + 1) * evaluate_every).alias("best_epoch"),
+        F.when(improved, F.col("level.best")).alias("best_metric"),
     )
 
 
