@@ -7,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
 from textloom.operators.metrics import answers, bleu, chunks, classification, loss, rouge
 from textloom.plans import bundles
 
@@ -109,13 +108,25 @@ def random_rows(seed, n=40):
 def test_bleu_against_plain_count(spark, seed):
     rows = random_rows(seed)
     df = frame(spark, [(" ".join(h), " ".join(r)) for h, r in rows])
-    for parts in (1, 7):
-        got = bleu.bleu(df.repartition(parts), tokenize=T.words).head().BLEU
+    for parts, method in ((1, "row"), (7, "row"), (7, "group")):
+        got = bleu.bleu(df.repartition(parts), text=F.lower, method=method).head().BLEU
         assert got == pytest.approx(plain_bleu(rows, False))
-        got = bleu.sacrebleu(df.repartition(parts)).head().SacreBLEU
+        got = bleu.sacrebleu(df.repartition(parts), method=method).head().SacreBLEU
         assert got == pytest.approx(plain_bleu(rows, True))
 
 
+def test_both_ways_of_counting_agree(spark):
+    rnd = random.Random(9)
+    text = lambda: "".join(rnd.choice(["The ", "cat ", "can't ", "3.5, ", "end.\n", "a ", "“x” "]) for _ in range(rnd.randint(0, 40)))
+    df = frame(spark, [(text(), text()) for _ in range(80)] + [(None, "a"), ("a", None)])
+    one, two = [bundles.generation_scores(df, method=m).head().asDict() for m in ("row", "group")]
+    assert one == pytest.approx(two)
+    one, two = [sorted(answers.answer_rows(df, method=m).collect()) for m in ("row", "group")]
+    assert one == two
+    with pytest.raises(ValueError):
+        bleu.bleu(df, method="other")
+
+
 def test_smoothing(spark):
     df = frame(spark, [("a b c d", "a x c y")])
     assert bleu.bleu(df).head().BLEU == 0

@@ -129,13 +129,13 @@ WORD_TOKENS_SQL = f"select id, {I.sql_words('lower(hyp)')} h, {I.sql_words('lowe
 
 @query("bleu_words", f"with {I.PAIRS_SQL}, {sql_overlap(WORD_TOKENS_SQL, (1, 2, 3, 4))} {sql_bleu('BLEU')}")
 def bleu_words(spark, folder):
-    return _rounded(B.bleu(I.pairs(spark, folder), tokenize=T.lower_words))
+    return _rounded(B.bleu(I.pairs(spark, folder), text=F.lower))
 
 
 @query("ngram_totals", f"""with {I.PAIRS_SQL}, {sql_overlap(WORD_TOKENS_SQL, (1, 2, 3, 4))}
 select n, cast(sum(m) as bigint) matches, cast(sum(th) as bigint) possible, cast(sum(tr) as bigint) reference from overlap group by n""")
 def ngram_totals(spark, folder):
-    counts = ngram_overlap(I.pairs(spark, folder), {"w": Scheme(T.lower_words, B.ORDERS)})
+    counts = ngram_overlap(I.pairs(spark, folder), {"w": Scheme(F.lower, B.ORDERS)}, method="group")
     row = lambda n: F.struct(
         F.lit(n).alias("n"), F.sum(f"w_m{n}").alias("matches"),
         F.sum(F.greatest(F.col("w_hyp") - (n - 1), F.lit(0))).alias("possible"),

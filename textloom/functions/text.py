@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 # White space as Python's str.split() knows it: Unicode white space plus four separators.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
-# mteval-v13a tokenisation: plain replacements, then patterns with their substitutions.
+# mteval-v13a tokenisation: plain replacements, then patterns with their substitutions. The first
+# class is known with the space in it (" -&"); putting spaces around a space changes no token,
+# so it starts at "!" here.
 V13A_REPLACEMENTS = [
     ("<skipped>", ""),
     ("-\n", ""),
@@ -22,7 +24,7 @@ V13A_REPLACEMENTS = [
     ("&gt;", ">"),
 ]
 V13A_PATTERNS = [
-    (r"([\{-~\[-` -&\(-\+:-@/])", " $1 "),
+    (r"([\{-~\[-`!-&\(-\+:-@/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -150,9 +152,13 @@ def treebank_sentences(parts: Column) -> Column:
     return F.transform(out, contracted)
 
 
+def treebank_text(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
+    """Sentence split, then Treebank tokens in text order, separated by white space."""
+    return F.array_join(treebank_sentences(sentences(text, abbreviations)), " ")
+
+
 def treebank_tokens(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
-    """Sentence split, then Treebank tokens, in text order."""
-    return words(F.array_join(treebank_sentences(sentences(text, abbreviations)), " "))
+    return words(treebank_text(text, abbreviations))
 
 
 def normalise_answer(text: Column) -> Column:

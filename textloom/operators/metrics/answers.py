@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.text import answer_tokens, normalise_answer
+from ...functions.text import normalise_answer
 from .classification import ratio
 from .overlap import Scheme, ngram_overlap
 
 
-def answer_rows(df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label") -> DataFrame:
+def answer_rows(
+    df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label", method: str = "row"
+) -> DataFrame:
     """``(id, em, f1)`` per row, 0 to 1.
 
     Two empty answers match; one empty answer scores 0.
     """
     same = (normalise_answer(F.col("_hyp")) == normalise_answer(F.col("_label"))).cast("bigint")
     counts = ngram_overlap(
-        df, {"a": Scheme(answer_tokens, (1,))}, id_col=id_col, hyp=hyp, label=label, extra={"em": same}
+        df, {"a": Scheme(normalise_answer, (1,))}, id_col=id_col, hyp=hyp, label=label, extra={"em": same},
+        method=method,
     )
     h, r, m = F.col("a_hyp"), F.col("a_ref"), F.col("a_m1")
     p, rec = ratio(m, h), ratio(m, r)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.text import treebank_tokens, v13a_tokens
+from ...functions.text import treebank_text, v13a_text
 from .overlap import Scheme, ngram_overlap, totals
 
 ORDERS = (1, 2, 3, 4)
@@ -49,17 +49,20 @@ def sacrebleu_column(prefix: str = "") -> Column:
 
 def bleu(
     df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label",
-    tokenize: Callable[[Column], Column] = treebank_tokens,
+    text: Callable[[Column], Column] = treebank_text, method: str = "row",
 ) -> DataFrame:
-    """One row ``BLEU``: order 4, one reference per row, Treebank tokens by default."""
-    counts = ngram_overlap(df, {"b": Scheme(tokenize, ORDERS)}, id_col=id_col, hyp=hyp, label=label)
+    """One row ``BLEU``: order 4, one reference per row, Treebank tokens by default.
+
+    ``text`` gives the tokens separated by white space.
+    """
+    counts = ngram_overlap(df, {"b": Scheme(text, ORDERS)}, id_col=id_col, hyp=hyp, label=label, method=method)
     return totals(counts, "b", ORDERS).select(bleu_column().alias("BLEU"))
 
 
 def sacrebleu(
     df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label",
-    tokenize: Callable[[Column], Column] = v13a_tokens,
+    text: Callable[[Column], Column] = v13a_text, method: str = "row",
 ) -> DataFrame:
     """One row ``SacreBLEU``: case-sensitive v13a tokens, exponential smoothing."""
-    counts = ngram_overlap(df, {"s": Scheme(tokenize, ORDERS)}, id_col=id_col, hyp=hyp, label=label)
+    counts = ngram_overlap(df, {"s": Scheme(text, ORDERS)}, id_col=id_col, hyp=hyp, label=label, method=method)
     return totals(counts, "s", ORDERS).select(sacrebleu_column().alias("SacreBLEU"))

@@ -1,44 +1,99 @@
-"""Clipped n-gram overlap of hypothesis and reference, the base of BLEU, ROUGE-n and token F1."""
+"""Clipped n-gram overlap of hypothesis and reference, the base of BLEU, ROUGE-n and token F1.
+
+Two ways give the same counts. ``row`` counts inside the row with a short Arrow function: no
+shuffle, no state beyond one row. ``group`` uses built-in operators only: the texts are shuffled
+by id and the exploded n-grams are grouped; those are many times larger than the text, so its
+hash tables spill on large partitions. ``row`` is the default, being about four times faster on
+the bench data and needing no exchange at any size.
+"""
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ...functions.arrays import ngrams
+from ...functions.text import words
+
+# Ship the helpers below with the job, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """A tokenizer and the n-gram orders to count under it."""
+    """A text form whose tokens are separated by white space, and the n-gram orders to count."""
 
-    tokenize: Callable[[Column], Column]
+    text: Callable[[Column], Column]
     orders: tuple[int, ...]
 
 
+def clipped_matches(hyp: list[str], ref: list[str], n: int) -> int:
+    """Sum over n-grams of the smaller of both counts."""
+    grams = lambda t: Counter(zip(*(t[i:] for i in range(n))))
+    few, many = sorted((grams(hyp), grams(ref)), key=len)
+    return sum(min(count, many[gram]) for gram, count in few.items() if gram in many)
+
+
+def _row_counter(orders: tuple[int, ...]):
+    names = ["hyp", "ref", *[f"m{n}" for n in orders]]
+
+    def count(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        out = []
+        for hyp, ref in zip(hyps, refs):
+            h, r = hyp.split(), ref.split()
+            out.append((len(h), len(r), *(clipped_matches(h, r, n) for n in orders)))
+        return pd.DataFrame(out, columns=names, dtype="int64")
+
+    return F.pandas_udf(count, StructType([StructField(n, LongType()) for n in names]))
+
+
 def ngram_overlap(
     df: DataFrame, schemes: dict[str, Scheme], *, id_col: str = "id", hyp: str = "hyp", label: str = "label",
-    extra: dict[str, Column] | None = None,
+    extra: dict[str, Column] | None = None, method: str = "row",
 ) -> DataFrame:
     """One row per id with ``<scheme>_m<n>`` (clipped matches), ``<scheme>_hyp``, ``<scheme>_ref``.
 
     ``<scheme>_hyp`` and ``<scheme>_ref`` are the token counts. ``extra`` gives further bigint
-    values of the row to carry along. The texts are shuffled once, by id; the n-grams of a row
-    are counted where they were made and are never shuffled. ``id`` must be unique.
+    values of the row, written over the columns ``_hyp`` and ``_label``. Null texts count as
+    empty. The ``group`` method needs unique ids.
     """
-    extra = extra or {}
-    rows = df.select(F.col(id_col).alias("id"), F.col(hyp).alias("_hyp"), F.col(label).alias("_label"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), text(hyp).alias("_hyp"), text(label).alias("_label"))
+    if method == "row":
+        return _by_row(rows, schemes, extra or {})
+    if method == "group":
+        return _by_group(rows, schemes, extra or {})
+    raise ValueError(f"unknown method {method!r}")
+
+
+def _by_row(rows: DataFrame, schemes: dict[str, Scheme], extra: dict[str, Column]) -> DataFrame:
+    counts = [
+        _row_counter(s.orders)(s.text(F.col("_hyp")), s.text(F.col("_label"))).alias(name) for name, s in schemes.items()
+    ]
+    fields = [
+        F.col(f"{name}.{f}").alias(f"{name}_{f}")
+        for name, s in schemes.items() for f in ("hyp", "ref", *[f"m{n}" for n in s.orders])
+    ]
+    return rows.select("id", *counts, *[c.cast("bigint").alias(n) for n, c in extra.items()]).select("id", *fields, *extra)
+
+
+def _by_group(rows: DataFrame, schemes: dict[str, Scheme], extra: dict[str, Column]) -> DataFrame:
+    """The n-grams of a row are counted where they were made: one exchange, of the texts."""
     rows = rows.repartition("id")
     for name, scheme in schemes.items():
-        rows = rows.withColumn(f"_{name}_h", scheme.tokenize(F.col("_hyp"))).withColumn(
-            f"_{name}_r", scheme.tokenize(F.col("_label"))
+        rows = rows.withColumn(f"_{name}_h", words(scheme.text(F.col("_hyp")))).withColumn(
+            f"_{name}_r", words(scheme.text(F.col("_label")))
         )
-
     for name, value in extra.items():
-        rows = rows.withColumn(f"_x_{name}", value.cast("bigint"))
+        rows = rows.withColumn(f"_x_{name}", value)
 
     # A group is (kind, weight, grams): per scheme and order one group of each side, where
     # hypothesis grams weigh 1 and reference grams 0. Numbers of the row itself travel as the
@@ -71,10 +126,14 @@ def _group(kind: int, weight: Column, grams: Column) -> Column:
 
 def totals(overlap: DataFrame, scheme: str, orders: tuple[int, ...]) -> DataFrame:
     """Corpus sums: ``m<n>``, possible n-grams ``t<n>``, ``hyp_len``, ``ref_len``."""
+    whole = overlap.agg(*total_columns(scheme, orders))
+    return whole.select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in whole.columns])
+
+
+def total_columns(scheme: str, orders: tuple[int, ...], prefix: str = "") -> list[Column]:
     hyp, ref = F.col(f"{scheme}_hyp"), F.col(f"{scheme}_ref")
-    sums = [F.sum(hyp).alias("hyp_len"), F.sum(ref).alias("ref_len")]
+    sums = [F.sum(hyp).alias(f"{prefix}hyp_len"), F.sum(ref).alias(f"{prefix}ref_len")]
     for n in orders:
-        sums.append(F.sum(f"{scheme}_m{n}").alias(f"m{n}"))
-        sums.append(F.sum(F.greatest(hyp - (n - 1), F.lit(0))).alias(f"t{n}"))
-    whole = overlap.agg(*sums)
-    return whole.select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in whole.columns])
+        sums.append(F.sum(f"{scheme}_m{n}").alias(f"{prefix}m{n}"))
+        sums.append(F.sum(F.greatest(hyp - (n - 1), F.lit(0))).alias(f"{prefix}t{n}"))
+    return sums

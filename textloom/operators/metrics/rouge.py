@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ...functions.text import rouge_text, rouge_tokens
+from ...functions.text import rouge_text
 from .classification import ratio
 from .overlap import Scheme, ngram_overlap
 
@@ -133,12 +133,12 @@ def lines(text: Column) -> Column:
 
 def rouge_rows(
     df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label",
-    kinds: Sequence[str] = ("ROUGE1", "ROUGE2", "ROUGEL", "ROUGELsum"),
+    kinds: Sequence[str] = ("ROUGE1", "ROUGE2", "ROUGEL", "ROUGELsum"), method: str = "row",
 ) -> DataFrame:
     """F measures per row (fractions)."""
-    schemes = {"r": Scheme(rouge_tokens, tuple(n for n in (1, 2) if f"ROUGE{n}" in kinds))}
+    schemes = {"r": Scheme(rouge_text, tuple(n for n in (1, 2) if f"ROUGE{n}" in kinds))}
     counts = ngram_overlap(
-        df, schemes, id_col=id_col, hyp=hyp, label=label, extra=lcs_columns(kinds)
+        df, schemes, id_col=id_col, hyp=hyp, label=label, extra=lcs_columns(kinds), method=method
     )
     fields = scores_of("r")
     return counts.select("id", *[fields[k].alias(k) for k in kinds])

@@ -7,31 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rouge_tokens, treebank_tokens, v13a_tokens
+from ..functions.text import rouge_text, treebank_text, v13a_text
 from ..operators.metrics import answers, bleu, chunks, classification, rouge
-from ..operators.metrics.overlap import Scheme, ngram_overlap
+from ..operators.metrics.overlap import Scheme, ngram_overlap, total_columns
 
 ROUGE_KINDS = ("ROUGE1", "ROUGE2", "ROUGEL", "ROUGELsum")
 
 
-def generation_scores(df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label") -> DataFrame:
-    """``BLEU, SacreBLEU, ROUGE1, ROUGE2, ROUGEL, ROUGELsum`` in one row.
-
-    The texts are shuffled once; the three tokenizers and all n-gram counts share that pass.
-    """
+def generation_scores(
+    df: DataFrame, *, id_col: str = "id", hyp: str = "hyp", label: str = "label", method: str = "row"
+) -> DataFrame:
+    """``BLEU, SacreBLEU, ROUGE1, ROUGE2, ROUGEL, ROUGELsum`` in one row, in one pass over the texts."""
     orders = bleu.ORDERS
     schemes = {
-        "b": Scheme(treebank_tokens, orders), "s": Scheme(v13a_tokens, orders), "r": Scheme(rouge_tokens, (1, 2)),
+        "b": Scheme(treebank_text, orders), "s": Scheme(v13a_text, orders), "r": Scheme(rouge_text, (1, 2)),
     }
     counts = ngram_overlap(
-        df, schemes, id_col=id_col, hyp=hyp, label=label, extra=rouge.lcs_columns(ROUGE_KINDS)
+        df, schemes, id_col=id_col, hyp=hyp, label=label, extra=rouge.lcs_columns(ROUGE_KINDS), method=method
     )
-    sums = []
-    for s in ("b", "s"):
-        sums += [F.sum(f"{s}_hyp").alias(f"{s}_hyp_len"), F.sum(f"{s}_ref").alias(f"{s}_ref_len")]
-        for n in orders:
-            sums.append(F.sum(f"{s}_m{n}").alias(f"{s}_m{n}"))
-            sums.append(F.sum(F.greatest(F.col(f"{s}_hyp") - (n - 1), F.lit(0))).alias(f"{s}_t{n}"))
+    sums = [c for s in ("b", "s") for c in total_columns(s, orders, f"{s}_")]
     fields = rouge.scores_of("r")
     sums += [(F.avg(fields[k]) * 100).alias(k) for k in ROUGE_KINDS]
     whole = counts.agg(*sums)
