@@ -132,8 +132,12 @@ def test_sinks(spark, tmp_path):
         sinks.write_submission(df, target, ["id"], ["hyp"], single_file=single)
         assert [tuple(r) for r in read(target).orderBy("index").collect()] == [("0", "c"), ("1", 'say "x"\nnow')]
     metrics = spark.createDataFrame([("F1", 0.5)], "metric string, value double")
-    sinks.write_metric_summary(metrics, str(tmp_path / "m"), length_penalty=1.5)
-    assert spark.read.csv(str(tmp_path / "m"), header=True).head().length_penalty == 1.5
+    for penalty in (1.5, 2.0):
+        sinks.write_metric_summary(metrics, str(tmp_path / "m"), length_penalty=penalty)
+    back = spark.read.csv(str(tmp_path / "m"), header=True)
+    assert sorted(r.length_penalty for r in back.collect()) == [1.5, 2.0]
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_metric_summary(metrics, str(tmp_path / "m"), length_penalty=1.5)
     sinks.write_metric_summary(metrics, str(tmp_path / "m2"))
     sinks.write_vocab(spark.createDataFrame([("a", 0)], "token string, token_id bigint"), str(tmp_path / "v"))
     assert spark.read.json(str(tmp_path / "v")).head().asDict() == {"token": "a", "token_id": 0}

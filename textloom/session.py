@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cores: int | str = 8, memory: str = "16g", app: str = "textloo
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts are long
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -40,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and is computed once."""
     shared_folder(df.sparkSession)

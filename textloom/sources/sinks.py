@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, DataFrameWriter
 
 from ..operators.ordering import running_sum
 
@@ -12,24 +11,31 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
+def _csv(df: DataFrame, overwrite: bool) -> DataFrameWriter:
+    """CSV writer with a header that doubles quotes inside fields and keeps outer spaces."""
+    return (
+        df.write.mode(_mode(overwrite)).option("header", True).option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    )
+
+
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv", overwrite: bool = False) -> None:
-    """``(id, hyp, label)``; CSV has a header and doubles quotes inside fields."""
-    writer = df.write.mode(_mode(overwrite))
+    """``(id, hyp, label)``."""
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        _csv(df, overwrite).csv(path)
     else:
-        writer.format(fmt).save(path)
+        df.write.mode(_mode(overwrite)).format(fmt).save(path)
 
 
 def write_metric_summary(
     df: DataFrame, path: str, length_penalty: float | None = None, overwrite: bool = False
 ) -> None:
-    """Metric summary as CSV; with a run parameter, one folder per value of it."""
-    if length_penalty is None:
-        df.write.mode(_mode(overwrite)).option("header", True).csv(path)
-        return
-    tagged = df.withColumn("length_penalty", F.lit(length_penalty))
-    tagged.write.mode(_mode(overwrite)).partitionBy("length_penalty").option("header", True).csv(path)
+    """Metric summary as CSV; with a run parameter, one folder per value of it under ``path``.
+
+    A value that was written before is an error unless ``overwrite``; other values stay.
+    """
+    folder = path if length_penalty is None else f"{path.rstrip('/')}/length_penalty={length_penalty}"
+    _csv(df, overwrite).csv(folder)
 
 
 def write_vocab(vocab: DataFrame, path: str, fmt: str = "json", overwrite: bool = False) -> None:
@@ -54,4 +60,4 @@ def write_submission(
     indexed = running_sum(predictions.select(*dict.fromkeys([*order, *columns])), order, out="index")
     ordered = indexed.select("index", *columns)
     ordered = ordered.coalesce(1).sortWithinPartitions("index") if single_file else ordered.orderBy("index")
-    ordered.write.mode(_mode(overwrite)).option("header", True).option("escape", '"').csv(path)
+    _csv(ordered, overwrite).csv(path)
