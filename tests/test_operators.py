@@ -66,6 +66,10 @@ def test_vocab_both_join_paths(spark):
         assert rows(ids.select("id", "ids")) == [(1, [1, 0, 1]), (2, []), (3, [2, 0])]
         assert rows(ids.select("id", "twice"))[2] == (3, [2, 0, 2, 0])
         assert rows(vocab.decode(ids, "id", F.col("ids"), table, small=small)) == [(1, "b a b"), (2, ""), (3, "c a")]
+    many = spark.range(3000).select("id", F.concat(F.lit("b a b "), F.col("id") % 7).alias("text"))
+    every = vocab.build_vocab(many.select(F.explode(words).alias("token")))
+    one, two = [rows(vocab.encode(many, "id", {"ids": words}, every, small=s)) for s in (True, False)]
+    assert one == two and len(one) == 3000
     part = table.where("token <> 'c'")
     assert rows(vocab.encode(docs, "id", {"ids": tokens}, part, on_unknown="null"))[2] == (3, [None, 0])
     assert rows(vocab.encode(docs, "id", {"ids": tokens}, part, on_unknown="unk", unknown=9))[2] == (3, [9, 0])

@@ -15,7 +15,9 @@ from . import ordering
 SPECIAL_TOKENS = ["<bos>", "<|endoftext|>", "<speaker1>", "<speaker2>", "<pad>", "<cls>", "<sep>"]
 
 BROADCAST_ROWS = 2_000_000
-SALTS = 32
+HOT_ROWS = 1000
+SPREAD_KEYS = 4096
+SAMPLE_SHARE = 0.01
 
 
 def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
@@ -53,20 +55,28 @@ def fits_broadcast(vocab: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return vocab.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
-def _lookup(rows: DataFrame, vocab: DataFrame, key: str, value: str, small: bool, spread: Column) -> DataFrame:
+def _lookup(
+    rows: DataFrame, sample: DataFrame, vocab: DataFrame, key: str, value: str, small: bool, spread: Column
+) -> DataFrame:
     """Left join of every element with the vocabulary.
 
-    A vocabulary of checked small size is broadcast. A larger one is joined by shuffle with the
-    element side salted, since a few words make up most of any text.
+    A vocabulary of checked small size is broadcast. A larger one is joined by shuffle, but a few
+    words make up most of any text, so the most frequent ones of a sample are looked up in a
+    broadcast of at most ``HOT_ROWS`` rows first. Their rows, and null elements, take a spread
+    key through the shuffle. The sample only decides which way a row goes, never its value.
     """
     vocab = vocab.select(F.col(key), F.col(value))
     if small:
         return rows.join(F.broadcast(vocab), key, "left")
-    salted = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    frequent = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(HOT_ROWS)
+    hot = frequent.join(vocab, key).select(key, F.col(value).alias("_hot"))
+    aside = F.concat(F.lit("\0"), F.pmod(F.hash(spread), F.lit(SPREAD_KEYS)).cast("string"))
+    route = F.coalesce(F.when(F.col("_hot").isNull(), F.col(key).cast("string")), aside)
     return (
-        rows.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
-        .join(salted, [key, "_salt"], "left")
-        .drop("_salt")
+        rows.join(F.broadcast(hot), key, "left").withColumn("_key", route)
+        .join(vocab.select(F.col(key).cast("string").alias("_key"), F.col(value).alias("_cold")), "_key", "left")
+        .withColumn(value, F.coalesce("_hot", "_cold"))
+        .drop("_key", "_hot", "_cold")
     )
 
 
@@ -92,12 +102,10 @@ def map_arrays(
         small = fits_broadcast(vocab)
     kind = "bigint" if value == "token_id" else "string"
     tagged = [_slotted(col, slot, key) for slot, col in enumerate(arrays.values())]
-    exploded = (
-        df.repartition(F.col(id_col))
-        .select(F.col(id_col), F.explode_outer(F.concat(*tagged)).alias("e"))
-        .select(id_col, "e.*")
-    )
-    joined = _lookup(exploded, vocab, key, value, small, F.struct(id_col, "pos"))
+    elements = F.explode_outer(F.concat(*tagged)).alias("e")
+    exploded = df.repartition(F.col(id_col)).select(F.col(id_col), elements).select(id_col, "e.*")
+    sample = df.sample(fraction=SAMPLE_SHARE, seed=5).select(elements).select("e.*")
+    joined = _lookup(exploded, sample, vocab, key, value, small, F.struct(id_col, "pos"))
     found = F.col(value)
     if on_unknown == "unk":
         found = F.coalesce(found, F.lit(unknown).cast(kind))
