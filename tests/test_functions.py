@@ -73,6 +73,14 @@ def test_list_literals(spark, cell, items):
     assert value(spark, parse_any_list_literal(F.col("x")), x=cell) == items
 
 
+def test_tokenizer_registry(spark):
+    T.register_tokenizer("letters", lambda c: F.split(c, ""))
+    assert value(spark, T.tokenizer("letters")(F.col("x")), x="ab")[:2] == ["a", "b"]
+    assert value(spark, T.tokenizer("v13a")(F.col("x")), x="a,b") == ["a", ",", "b"]
+    with pytest.raises(ValueError):
+        T.tokenizer("none")
+
+
 def test_long_list_literal(spark):
     words = [f"w{i}" for i in range(20000)]
     assert value(spark, T.parse_list_literal(F.col("x")), x=repr(words)) == words

@@ -80,6 +80,15 @@ def test_macro_scores(spark):
     assert got.F1 == pytest.approx((2 / 3 + 0.5 + 0) / 3)
 
 
+def test_missing_predictions(spark):
+    df = frame(spark, [("a", "a"), (None, "a")])
+    assert classification.accuracy(df).head().ACC == 0.5
+    assert classification.macro_scores(df).head().ACC == 0.5
+    assert answers.exact_match(df).head().EM == answers.answer_scores(df).head().EM == 50
+    tags = frame(spark, [(["B"], ["B"]), (None, ["B"])], "array<string>")
+    assert chunks.chunk_counts(tags).head().tokens == 1
+
+
 # --- text scores ---------------------------------------------------------------------------
 def plain_bleu(rows, smooth):
     hyp_len = sum(len(h) for h, _ in rows)

@@ -219,6 +219,13 @@ def test_decoding(spark):
     assert list(got) == [[1], [1, 0, 2], [1, 2], [2, 1], [1], [], ["b"]]
 
 
+def test_pairing_keeps_every_reference(spark):
+    hyps = spark.createDataFrame([(1, "x"), (9, "y")], "id bigint, hyp string")
+    refs = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, label string")
+    assert rows(predictions.pair_with_references(hyps, refs)) == [(1, "x", "a"), (2, None, "b")]
+    assert rows(predictions.preview(predictions.stack([refs, refs]), rows=2)) == [(1, "a"), (1, "a")]
+
+
 def plain_run(metrics, limit):
     best, at, stop = -100.0, None, 0
     for epoch, m in enumerate(metrics, 1):
@@ -272,5 +279,10 @@ def test_subwords(spark):
     wrapped = F.concat(F.array(F.lit(0)), "ids", F.array(F.lit(2)))
     assert {r.id: r.t for r in ids.select("id", back(wrapped).alias("t")).collect()} == dict(enumerate(texts + [""]))
     assert subword.shifted_vocab_size(250000, 56) == 250058
+    table = subword.vocab_table(spark, data, special, "shifted")
+    assert table.count() == subword.shifted_vocab_size(len(sp), 1)
+    assert [r.token for r in table.orderBy("token_id").limit(5).collect()] == ["<s>", "<pad>", "</s>", "<unk>", sp.id_to_piece(3)]
+    listed = {r.token: r.token_id for r in subword.vocab_table(spark, data, {"[x]": len(sp)}).collect()}
+    assert listed["[x]"] == len(sp) and listed[sp.id_to_piece(9)] == 9
     with pytest.raises(ValueError):
         subword.encoder(spark, data, special, "other")

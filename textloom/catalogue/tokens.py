@@ -250,6 +250,13 @@ def wrap_language(spark, folder):
     return _wrap_rows(spark, folder).select("id", *[I.joined(c).alias(n) for n, c in columns.items()])
 
 
+@query("seq2seq_inputs", f"""with {I.ID_PAIRS_SQL} select id, array_to_string(list_concat(list_concat([250005], x), [2]), ' ') input_ids,
+array_to_string(list_concat(list_concat([250032], y), [2]), ' ') labels from id_pairs""")
+def seq2seq_inputs(spark, folder):
+    columns = S.seq2seq_inputs(F.col("x"), F.col("y"), source_language=250005, target_language=250032)
+    return I.id_pairs(spark, folder).select("id", *[I.joined(c).alias(n) for n, c in columns.items()])
+
+
 def _vectors(spark, folder):
     """Vectors of the words seen in a document whose number is a vector number."""
     words = I.documents(spark, folder).select("id", F.explode(T.lower_words(F.col("text"))).alias("token"))

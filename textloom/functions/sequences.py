@@ -45,6 +45,16 @@ def wrap_language_mask(ids: Column, pair: Column | None = None) -> Column:
     return F.concat(_one(1), *[repeat(0, F.size(c)) for c in content], _one(1))
 
 
+def seq2seq_inputs(
+    source: Column, target: Column, *, source_language: int | Column, target_language: int | Column, end_id: int = 2
+) -> dict[str, Column]:
+    """``input_ids`` under the source language and ``labels`` under the target language."""
+    return {
+        "input_ids": wrap_language(source, language_id=source_language, end_id=end_id),
+        "labels": wrap_language(target, language_id=target_language, end_id=end_id),
+    }
+
+
 def special_mask(ids: Column, start_id: int = 0, end_id: int = 2) -> Column:
     """Mask of ids that already carry special tokens."""
     return F.transform(ids, lambda i: i.isin(start_id, end_id).cast("bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -213,3 +214,20 @@ def parse_list_literal(cell: Column) -> Column:
         .when(plain & single & ~double, _quoted_items(inner, "'"))
         .when(plain & double & ~single, _quoted_items(inner, '"'))
     )
+
+
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {
+    "words": words, "lower_words": lower_words, "v13a": v13a_tokens, "rouge": rouge_tokens,
+    "treebank": treebank_tokens, "answer": answer_tokens,
+}
+
+
+def register_tokenizer(name: str, tokenize: Callable[[Column], Column]) -> None:
+    """``tokenize``: text column -> array column; built-in expressions or an Arrow function."""
+    TOKENIZERS[name] = tokenize
+
+
+def tokenizer(name: str) -> Callable[[Column], Column]:
+    if name not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {name!r}")
+    return TOKENIZERS[name]

@@ -34,6 +34,7 @@ def answer_scores(df: DataFrame, **columns) -> DataFrame:
 
 
 def exact_match(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:
-    """EM alone needs no shuffle of the texts."""
-    same = normalise_answer(F.col(hyp)) == normalise_answer(F.col(label))
+    """EM alone, in built-in expressions; a null text counts as empty."""
+    text = lambda c: normalise_answer(F.coalesce(F.col(c), F.lit("")))
+    same = text(hyp) == text(label)
     return df.agg((F.avg(same.cast("double")) * 100).alias("EM"))

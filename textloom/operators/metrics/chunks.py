@@ -63,11 +63,14 @@ def _spans(df: DataFrame, side: str) -> DataFrame:
 
 
 def sentence_chunks(df: DataFrame, hyp: str = "hyp", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per sentence: chunk arrays of both sides, tokens and equal tags. The longer side is cut."""
-    shared = F.least(F.size(hyp), F.size(label))
-    cut = df.select(
-        *keep, take(F.col(hyp), shared).alias("_hyp"), take(F.col(label), shared).alias("_gold")
-    )
+    """Per sentence: chunk arrays of both sides, tokens and equal tags.
+
+    The longer side is cut; a null side counts as empty.
+    """
+    sides = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (hyp, label)]
+    both = df.select(*keep, sides[0].alias("_hyp"), sides[1].alias("_gold"))
+    shared = F.least(F.size("_hyp"), F.size("_gold"))
+    cut = both.select(*keep, take(F.col("_hyp"), shared).alias("_hyp"), take(F.col("_gold"), shared).alias("_gold"))
     spans = _spans(_spans(cut, "gold"), "hyp")
     equal = F.filter(F.zip_with("_gold", "_hyp", lambda g, h: g == h), lambda x: x)
     return spans.select(

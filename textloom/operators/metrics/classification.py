@@ -48,7 +48,9 @@ def per_class(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFram
 
 
 def accuracy(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:
-    return df.agg(F.avg((F.col(hyp) == F.col(label)).cast("double")).alias("ACC"))
+    """A missing prediction counts as wrong."""
+    right = F.coalesce(F.col(hyp) == F.col(label), F.lit(False))
+    return df.agg(F.avg(right.cast("double")).alias("ACC"))
 
 
 def macro_scores(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:

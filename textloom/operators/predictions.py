@@ -56,8 +56,8 @@ def remove_prompt(ids: Column, width: Column | int) -> Column:
 def pair_with_references(
     hypotheses: DataFrame, references: DataFrame, id_col: str = "id", hyp: str = "hyp", label: str = "label"
 ) -> DataFrame:
-    """``(id, hyp, label)`` by id."""
-    return hypotheses.select(id_col, hyp).join(references.select(id_col, label), id_col)
+    """``(id, hyp, label)`` by id. Every reference stays; one without a hypothesis gets null."""
+    return references.select(id_col, label).join(hypotheses.select(id_col, hyp), id_col, "left").select(id_col, hyp, label)
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
