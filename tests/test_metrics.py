@@ -81,7 +81,7 @@ def test_macro_scores(spark):
 
 
 def test_missing_predictions(spark):
-    df = frame(spark, [("a", "a"), (None, "a")])
+    df = frame(spark, [("cat", "cat"), (None, "cat")])
     assert classification.accuracy(df).head().ACC == 0.5
     assert classification.macro_scores(df).head().ACC == 0.5
     assert answers.exact_match(df).head().EM == answers.answer_scores(df).head().EM == 50
