@@ -62,6 +62,10 @@ def test_tagged_any_break(spark, tmp_path):
     want = [(0, ["a"], ["O"]), (1, ["b"], ["B-ASPECT"]), (2, ["c"], ["O"])]
     assert sentences(readers.read_tagged(spark, path, any_break=True)) == want
     assert sentences(readers.read_tagged(spark, path, any_break=True, strict_tail=True)) == want
+    long = put(tmp_path, "long.txt", "a\tO\n" + "no tab\n" * 50_000 + "b\tO\n")
+    assert [r[1] for r in sentences(readers.read_tagged(spark, long, any_break=True))] == [["a"], ["b"]]
+    blank = put(tmp_path, "blank.txt", "a\tO\n" + " \n" * 50_000 + "b\tO\n")
+    assert [r[1] for r in sentences(readers.read_tagged(spark, blank))] == [["a"], ["b"]]
     rows = tasks.read_task(spark, "aspect_extraction", "train", path).orderBy("id").collect()
     assert [r.seq_label for r in rows] == [[1], [4], [1]]
 

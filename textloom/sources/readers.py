@@ -56,10 +56,12 @@ def read_tagged(
         "_size", F.col("_metadata.file_size")
     )
     nl = newline.replace("\r", r"\r").replace("\n", r"\n")
+    # One end line per match; lines that are no tokens are filtered below. No repeated groups, so
+    # a long run of end lines costs no stack.
     if any_break:
-        breaks = rf"{nl}(?:[^\t\r\n]*{nl})+|^(?:[^\t\r\n]*{nl})+|{nl}[^\t\r\n]+$"
+        breaks = rf"{nl}[^\t\r\n]*(?={nl})|{nl}[^\t\r\n]+$"
     else:
-        breaks = rf"{nl}(?:[^\S\r\n]*{nl})+"
+        breaks = rf"{nl}[^\S\r\n]*(?={nl})"
     is_token = (lambda x: F.contains(x, F.lit("\t"))) if any_break else (lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
     lines = F.filter(F.split(F.col("sentence"), nl), is_token)
     pieces = chunks.select(PATH, "_start", F.explode(F.split("value", breaks, -1)).alias("sentence")).select(
