@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from textloom.plans import tasks
 from textloom.sources import readers, sinks

@@ -8,7 +8,6 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..functions.sequences import join_with_separator
 from ..operators import predictions
-from ..operators.metrics import classification
 from . import inputs as I
 from .registry import query
 

@@ -10,11 +10,7 @@ from ..functions.arrays import repeat
 
 def _spread(pieces: Column, value) -> Column:
     """One ``value(i)`` per sub-word of word ``i``."""
-    return F.flatten(F.transform(pieces, lambda p, i: repeat_value(value(i), F.size(p))))
-
-
-def repeat_value(value: Column, count: Column) -> Column:
-    return F.array_repeat(value.cast("bigint"), count)
+    return F.flatten(F.transform(pieces, lambda p, i: F.array_repeat(value(i).cast("bigint"), F.size(p))))
 
 
 def align_words(pieces: Column, cls_id: int | Column, sep_id: int | Column) -> tuple[Column, Column]:

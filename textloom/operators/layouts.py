@@ -7,7 +7,7 @@ output columns of a batch all have the same width. Everything is array expressio
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +68,7 @@ def prefixed(x: Column, y: Column, x_longest: Column, y_longest: Column, c: Layo
 
 def unprefixed(x: Column, y: Column, x_longest: Column, y_longest: Column, c: LayoutIds) -> dict[str, Column]:
     """enc ``x``, dec ``BOS y``, label ``y EOS``."""
-    bare = LayoutIds(**{**c.__dict__, "prefix": ()})
-    return prefixed(x, y, x_longest, y_longest, bare)
+    return prefixed(x, y, x_longest, y_longest, replace(c, prefix=()))
 
 
 def decoder_only(x: Column, y: Column, x_longest: Column, y_longest: Column, c: LayoutIds) -> dict[str, Column]:
