@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 800_000  # of each of two generations
+TOGETHER = 30_000
+TAIL = "".join(c for c in string.punctuation if c not in "'<>|")
 MARK = "\x01"
 GROUP = 200
 _SPACE_RUN = re.compile(r"\s ")
@@ -34,12 +37,15 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces = spaces
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
         if not self.spaces:
+            # The file lower-cases letter by letter; only the capital sigma depends on its neighbours elsewhere.
+            text = text if "\u03a3" in text else text.lower()
             return [p for p in text.split(" ") if p]
         if _SPACE_RUN.search(text):
             return [p for p in _CUT.split(text) if p]
@@ -47,10 +53,20 @@ class Encoder:
         return ([first] if first else []) + [" " + p for p in rest]
 
     def _learn(self, new: list[str]) -> None:
-        alone = [p for p in new if MARK in p or (self.spaces and p[0] != " ")]
+        """Remember the ids of new pieces. A word and the punctuation at its end are encoded apart."""
+        ends, unknown = {}, set()
+        for p in new:
+            base = p.rstrip(TAIL)
+            if base != p and base and base[-1].isalnum():
+                ends[p] = base, p[len(base) :]
+                unknown.update(ends[p])
+            else:
+                unknown.add(p)
+        unknown = [p for p in unknown if p not in self.cache]
+        alone = [p for p in unknown if MARK in p or (self.spaces and p[0] != " ")]
         for piece, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             self.cache[piece] = np.array(e.ids, "<u4").tobytes()
-        together = list(set(new).difference(alone))
+        together = list(set(unknown).difference(alone))
         groups = [together[i : i + GROUP] for i in range(0, len(together), GROUP)]
         between = " " + MARK if self.spaces else f" {MARK} "
         lead, last = len(self.mark) - 1, self.mark[-1]
@@ -60,31 +76,40 @@ class Encoder:
             for group, e in zip(some, encoded):
                 ids = np.array(e.ids, "<u4")
                 marks = np.flatnonzero(ids == last)
-                starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks - 4 * lead).tolist(), 4 * len(ids)]
+                starts, stops = [0, *(4 * marks + 4).tolist()], [*(4 * marks - 4 * lead).tolist(), 4 * len(ids)]
                 if len(starts) != len(group):
                     raise RuntimeError("the separator mark was not kept apart by the tokenizer")
                 raw = ids.tobytes()
-                self.cache.update(zip(group, [raw[a:b] for a, b in zip(starts, ends)]))
+                self.cache.update(zip(group, [raw[a:b] for a, b in zip(starts, stops)]))
+        self.cache.update((p, self.cache[base] + self.cache[tail]) for p, (base, tail) in ends.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text has no ids."""
-        out = []
-        for text in texts:
-            pieces = self.pieces(text or "")
-            found = [*map(self.cache.get, pieces)]
-            if None in found:
-                new = {p for p, ids in zip(pieces, found) if ids is None}
-                out.append((pieces, found, new))
-            else:
-                out.append((None, found, ()))
-        new = set().union(*(n for _, _, n in out))
+        out, i = [], 0
+        while i < len(texts):
+            cut, n = [], 0
+            while i < len(texts) and n < TOGETHER:  # few enough to stay in the processor's cache
+                pieces = self.pieces(texts[i] or "")
+                found = [*map(self.cache.get, pieces)]
+                cut.append((pieces, found, {p for p, ids in zip(pieces, found) if ids is None} if None in found else ()))
+                n += len(pieces)
+                i += 1
+            out += self._finish(cut)
+        return out
+
+    def _finish(self, cut: list[tuple]) -> list[bytes]:
+        new = set().union(*(n for _, _, n in cut))
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
+        if self.old:  # pieces that are asked for again move to the new generation
+            again = {p: self.old[p] for p in new if p in self.old}
+            self.cache.update(again)
+            new.difference_update(again)
         self._learn(list(new))
         get = self.cache.__getitem__
         return [
-            b"".join(found if pieces is None else [get(p) if ids is None else ids for p, ids in zip(pieces, found)])
-            for pieces, found, _ in out
+            b"".join([get(p) if ids is None else ids for p, ids in zip(pieces, found)] if missing else found)
+            for pieces, found, missing in cut
         ]
 
 
