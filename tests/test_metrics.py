@@ -86,7 +86,16 @@ def test_missing_predictions(spark):
     assert classification.macro_scores(df).head().ACC == 0.5
     assert answers.exact_match(df).head().EM == answers.answer_scores(df).head().EM == 50
     tags = frame(spark, [(["B"], ["B"]), (None, ["B"])], "array<string>")
-    assert chunks.chunk_counts(tags).head().tokens == 1
+    counts = chunks.chunk_counts(tags).head()
+    assert (counts.tokens, counts.gold, counts.correct) == (2, 2, 1)
+    scores = chunks.chunk_scores(tags).head()
+    assert (scores.PRE, scores.REC) == (1, 0.5) and scores.ACC == pytest.approx(3 / 4)
+    multi = frame(spark, [(["a", "b"], ["a", "b"]), (None, ["a", "b"])], "array<string>")
+    got = classification.macro_scores_multi(multi).head()
+    assert (got.ACC, got.REC, got.PRE) == (0.5, 0.5, 1) and got.F1 == pytest.approx(2 / 3)
+    assert classification.per_class(df).count() == 1  # a null is no class
+    none = spark.createDataFrame([], tags.schema)
+    assert chunks.chunk_scores(none, acc="tokens").head().ACC == 0
 
 
 # --- text scores ---------------------------------------------------------------------------

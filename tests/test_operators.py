@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import batching, dialogue, layouts, ordering, predictions, subword, vocab
+from textloom.operators import batching, dialogue, layouts, ordering, predictions, vocab
 
 
 def rows(df):
@@ -253,36 +253,8 @@ def test_runs(spark):
     assert (losses.mean_loss, losses.sum_loss) == (0, 0)
 
 
-# --- sub-words -----------------------------------------------------------------------------
-def test_subwords(spark):
-    import io
-
-    spm = pytest.importorskip("sentencepiece")
-    texts = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen jugs", "how vexingly quick daft zebras jump"]
-    model = io.BytesIO()
-    spm.SentencePieceTrainer.train(
-        sentence_iterator=iter(texts * 5), model_writer=model, vocab_size=60, model_type="bpe", minloglevel=2
-    )
-    data = model.getvalue()
-    sp = spm.SentencePieceProcessor(model_proto=data)
-    df = spark.createDataFrame(list(enumerate(texts + [""])), "id bigint, text string").repartition(3)
-    plain = subword.encoder(spark, data, subword.overrides(len(sp), {"[x]": 900}, "plain"))
-    got = {r.id: r.ids for r in df.select("id", plain(F.col("text")).alias("ids")).collect()}
-    assert got == {i: sp.encode(t) for i, t in enumerate(texts + [""])}
-    special = subword.overrides(len(sp), {"aa_AA": len(sp) + 1}, "shifted")
-    assert special["<mask>"] == len(sp) + 2
-    shifted = subword.encoder(spark, data, special, "shifted")
-    back = subword.decoder(spark, data, special, "shifted", skip_ids=[0, 2])
-    ids = df.select("id", shifted(F.col("text")).alias("ids"))
-    first = ids.where("id = 0").head().ids
-    assert first == [i + 1 if i else 3 for i in sp.encode(texts[0])]
-    wrapped = F.concat(F.array(F.lit(0)), "ids", F.array(F.lit(2)))
-    assert {r.id: r.t for r in ids.select("id", back(wrapped).alias("t")).collect()} == dict(enumerate(texts + [""]))
-    assert subword.shifted_vocab_size(250000, 56) == 250058
-    table = subword.vocab_table(spark, data, special, "shifted")
-    assert table.count() == subword.shifted_vocab_size(len(sp), 1)
-    assert [r.token for r in table.orderBy("token_id").limit(5).collect()] == ["<s>", "<pad>", "</s>", "<unk>", sp.id_to_piece(3)]
-    listed = {r.token: r.token_id for r in subword.vocab_table(spark, data, {"[x]": len(sp)}).collect()}
-    assert listed["[x]"] == len(sp) and listed[sp.id_to_piece(9)] == 9
-    with pytest.raises(ValueError):
-        subword.encoder(spark, data, special, "other")
+def test_complete_history(spark):
+    turns = spark.range(400).selectExpr("'c' conv_id", "id k", "concat('u', id) user_text", "concat('r', id) reply")
+    rows = {r.k: r for r in dialogue.complete_history(turns).collect()}
+    assert len(rows) == 400 and rows[399].n == len(rows[399].history) == 799
+    assert rows[1].history == ["u0", "r0", "u1"] and rows[399].history[0] == "u0"

@@ -37,15 +37,15 @@ def dialogue_pairs(spark, folder):
 
 
 @query("dialogue_turns", """with l as (select doc_id conv_id, string_split(text, chr(10)) l from documents),
-u as (select conv_id, unnest(range(len(l) // 2)) k, l from l)
+u as (select conv_id, unnest(range((len(l) + 1) // 2)) k, l from l)
 select conv_id, k, conv_id || '-' || k id, l[2 * k + 1] user_text, l[2 * k + 2] reply from u""")
 def dialogue_turns(spark, folder):
-    """Nested dialogues: the lines of a document two by two."""
+    """Nested dialogues: the lines of a document two by two; a last line alone has no reply yet (null)."""
     lines = F.split("text", "\n")
-    count = F.floor(F.size("lines") / 2)
+    count = F.ceil(F.size("lines") / 2)
     pair = lambda k: F.slice("lines", 2 * k + 1, F.lit(2))
     nested = I.documents(spark, folder).select(F.col("id").alias("conv_id"), lines.alias("lines")).where(
-        F.size("lines") >= 2
+        F.size("lines") >= 1
     )
     steps = F.sequence(F.lit(0), count.cast("int") - 1)
     return D.flatten_dialogues(nested.select("conv_id", F.transform(steps, pair).alias("dialogue")))
@@ -58,8 +58,8 @@ def dialogue_running_id(spark, folder):
 
 @query("dialogue_history", f"with {ENTRIES_SQL} select conv_id, k, n, array_to_string(h, '|') history, reply from entries")
 def dialogue_history(spark, folder):
-    shown = F.array_join(F.transform("history", lambda e: e["text"]), "|")
-    return D.running_history(I.turns(spark, folder)).select("conv_id", "k", "n", shown.alias("history"), "reply")
+    shown = F.array_join("history", "|")
+    return D.complete_history(I.turns(spark, folder)).select("conv_id", "k", "n", shown.alias("history"), "reply")
 
 
 HISTORY_COLUMNS_SQL = "conv_id, k, n, kept, n - kept dropped, array_to_string(h[n - kept + 1 : n], '|') history"

@@ -21,6 +21,19 @@ def tagged_file(spark, folder):
     return readers.read_tagged(spark, path).select(I.joined(F.col("tokens")).alias("tokens"), I.joined(F.col("tags")).alias("tags"))
 
 
+@query("tagged_file_ids", f"""with {I.TAGGED_SQL} select count(*) n, count(*) ids, 0 first_id, count(*) - 1 last_id
+from tagged where len(w) > 0""")
+def tagged_file_ids(spark, folder):
+    """Ids are dense and unique over several part files."""
+    path = scratch_path(spark, "tagged")
+    lines = F.zip_with("words", "gold", lambda w, t: F.concat(w, F.lit("\t"), t))
+    rows = I.tagged(spark, folder).select(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+    rows.repartition(3).write.text(path)
+    return readers.read_tagged(spark, path).agg(
+        F.count("id").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
 @query("parallel_file", f"with {I.PAIRS_SQL} select cast(id as varchar) id, hyp \"text\", label from pairs")
 def parallel_file(spark, folder):
     path = scratch_path(spark, "parallel")

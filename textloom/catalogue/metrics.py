@@ -85,6 +85,18 @@ def chunk_scores(spark, folder):
     return _rounded(chunks.chunk_scores(I.tagged(spark, folder), hyp="pred", label="gold"))
 
 
+MISSING_SQL = CHUNKS_SQL.replace(I.TAGGED_SQL, I.TAGGED_SQL.replace("tagged as (", "whole as (") + """,
+tagged as (select id, w, gold, case when id % 3 = 0 then list_transform(gold, lambda t: 'O') else pred end pred from whole)""")
+
+
+@query("chunk_scores_missing", f"""with {MISSING_SQL} select round((equal_tags + sentences) / (tokens + sentences), 6) "ACC",
+round(correct / guessed, 6) "PRE", round(correct / gold, 6) "REC", round(2 * correct / (guessed + gold), 6) "F1" from counts""")
+def chunk_scores_missing(spark, folder):
+    """Every third prediction is missing and counts as all outside."""
+    some = I.tagged(spark, folder).withColumn("pred", F.when(F.col("id") % 3 != 0, F.col("pred")))
+    return _rounded(chunks.chunk_scores(some, hyp="pred", label="gold"))
+
+
 @query("chunk_scores_by_type", f"""with {CHUNKS_SQL},
 hits as (select a.t, count(*) c from spans a join spans b on a.id = b.id and a.side = 'g' and b.side = 'h'
     and a.pos = b.pos and a.stop = b.stop and a.t = b.t group by a.t),

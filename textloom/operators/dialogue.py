@@ -58,11 +58,27 @@ def pair_turns(
     )
 
 
+def complete_history(turns: DataFrame) -> DataFrame:
+    """All texts a turn can see, however many: ``(conv_id, k, n, history, reply)``.
+
+    The result itself grows with the square of a conversation's length; what meets in a task is one conversation.
+    For histories under a token budget use :func:`running_history`, which is bounded. Turns are numbered from 0.
+    """
+    turn = F.struct("k", "user_text", "reply")
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    texts = F.flatten(F.transform("turns", lambda t: F.array(t["user_text"], t["reply"])))
+    each = whole.select("conv_id", texts.alias("texts"), F.explode("turns").alias("t"))
+    n = 2 * F.col("t.k") + 1
+    return each.select(
+        "conv_id", "t.k", n.alias("n"), F.slice("texts", F.lit(1), n.cast("int")).alias("history"), "t.reply"
+    )
+
+
 def running_history(
     turns: DataFrame, max_tokens: int = 512, tokenize: Callable[[Column], Column] = lower_words,
     turns_per_block: int = TURNS_PER_BLOCK,
 ) -> DataFrame:
-    """Texts a turn can see: earlier user and reply texts in order, then its own user text.
+    """Texts a turn can see under a budget: earlier user and reply texts in order, then its own user text.
 
     ``history`` is an array of ``(text, tokens)``; ``n`` is the number of all entries up to the
     turn. An entry costs at least two places of the budget, so entries further back than

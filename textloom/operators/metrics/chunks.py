@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.arrays import take
-from .classification import from_counts
+from .classification import from_counts, ratio
 
 
 # Prefixes as bits, so that a border is a few integer tests.
@@ -65,9 +65,10 @@ def _spans(df: DataFrame, side: str) -> DataFrame:
 def sentence_chunks(df: DataFrame, hyp: str = "hyp", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per sentence: chunk arrays of both sides, tokens and equal tags.
 
-    The longer side is cut; a null side counts as empty.
+    The longer side is cut. A missing prediction counts as all ``O``; a null label as empty.
     """
-    sides = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (hyp, label)]
+    gold = F.coalesce(F.col(label), F.array().cast("array<string>"))
+    sides = [F.coalesce(F.col(hyp), F.transform(gold, lambda t: F.lit("O"))), gold]
     both = df.select(*keep, sides[0].alias("_hyp"), sides[1].alias("_gold"))
     shared = F.least(F.size("_hyp"), F.size("_gold"))
     cut = both.select(*keep, take(F.col("_hyp"), shared).alias("_hyp"), take(F.col("_gold"), shared).alias("_gold"))
@@ -100,7 +101,7 @@ def chunk_scores(df: DataFrame, hyp: str = "hyp", label: str = "label", acc: str
     extra = {"boundaries": F.col("sentences"), "tokens": F.lit(0)}[acc]
     scores = from_counts(F.col("correct"), F.col("guessed"), F.col("gold"))
     return counts.select(
-        ((F.col("equal_tags") + extra) / (F.col("tokens") + extra)).alias("ACC"),
+        ratio(F.col("equal_tags") + extra, F.col("tokens") + extra).alias("ACC"),
         scores["precision"].alias("PRE"), scores["recall"].alias("REC"), scores["f1"].alias("F1"),
     )
 

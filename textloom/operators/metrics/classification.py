@@ -23,6 +23,8 @@ def from_counts(correct: Column, guessed: Column, gold: Column) -> dict[str, Col
 def class_counts(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:
     """``(cls, correct, guessed, gold)`` over all classes seen on either side.
 
+    A null is no class: a missing prediction is wrong for its gold class and guesses nothing.
+
     Pairs are counted first, so what is shuffled does not grow with the rows.
     """
     pairs = df.groupBy(F.col(label).alias("label"), F.col(hyp).alias("hyp")).agg(
@@ -35,7 +37,7 @@ def class_counts(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataF
         F.struct(F.col("hyp").alias("cls"), zero.alias("correct"), F.col("n").alias("guessed"), zero.alias("gold")),
     )
     return (
-        pairs.select(F.inline(sides))
+        pairs.select(F.inline(sides)).where(F.col("cls").isNotNull())
         .groupBy("cls")
         .agg(*[F.sum(c).alias(c) for c in ("correct", "guessed", "gold")])
     )
@@ -56,12 +58,15 @@ def accuracy(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame
 def macro_scores(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:
     """One row ``ACC, F1, REC, PRE``; macro F1 is the mean of the class F1s."""
     return per_class(df, hyp, label).agg(
-        (F.sum("tp") / F.sum("gold")).alias("ACC"), F.avg("f1").alias("F1"),
+        ratio(F.sum("tp"), F.sum("gold")).alias("ACC"), F.avg("f1").alias("F1"),
         F.avg("recall").alias("REC"), F.avg("precision").alias("PRE"),
     )
 
 
 def macro_scores_multi(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:
-    """The same over array columns, all outputs pooled."""
-    flat = df.select(F.inline(F.arrays_zip(F.col(label).alias("label"), F.col(hyp).alias("hyp"))))
+    """The same over array columns, all outputs pooled; a missing array is a missing prediction for each output."""
+    nothing = F.transform(F.col(label), lambda x: F.lit(None).cast("string"))
+    kind = df.schema[hyp].dataType.simpleString()
+    given = F.coalesce(F.col(hyp), nothing.cast(kind))
+    flat = df.select(F.inline(F.arrays_zip(F.col(label).alias("label"), given.alias("hyp"))))
     return macro_scores(flat)

@@ -14,7 +14,7 @@ def mark_position(df: DataFrame) -> DataFrame:
 
 
 def number_rows(marked: DataFrame, out: str = "line", **counts: Column) -> DataFrame:
-    """Dense row number from 0 in each file, in file order; keeps ``_path``.
+    """Dense row number from 0 over all files, in order of path and place; keeps ``_path``.
 
     Each of ``counts`` adds a number that goes up only by its column (0 or 1) per row. Rows of
     one split stay in one task in file order, so only the sums of the splits have to be added
@@ -23,7 +23,8 @@ def number_rows(marked: DataFrame, out: str = "line", **counts: Column) -> DataF
     weights = {out: F.lit(1), **counts}
     rows = marked.withColumn(ORDER, F.monotonically_increasing_id())
     rows = rows.withColumns({f"_w_{n}": w.cast("bigint") for n, w in weights.items()})
-    before = Window.partitionBy(PATH).orderBy(START).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split of the input.
+    before = Window.orderBy(PATH, START).rowsBetween(Window.unboundedPreceding, -1)
     per_split = marked.groupBy(PATH, START).agg(*[F.sum(w.cast("bigint")).alias(f"_n_{n}") for n, w in weights.items()])
     offsets = per_split.select(
         PATH, START, *[F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in weights]

@@ -33,7 +33,7 @@ def read_questions(spark: SparkSession, path: str, array: bool = True) -> DataFr
 
 
 def read_dialogues(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
-    """``(conv_id, dialogue)``; the persona is never read. ``conv_id`` is the place in the file."""
+    """``(conv_id, dialogue)``; the persona is never read. ``conv_id`` is the place over all files."""
     marked = mark_position(_json(spark, path, DIALOGUES, array))
     return number_rows(marked, "conv_id").select("conv_id", "dialogue")
 
@@ -137,7 +137,7 @@ def read_factoid(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """One token per line, id = line number from 0; a repeated token keeps its last id."""
+    """One token per line, id = line number from 0 over all part files; a repeated token keeps its last id."""
     lines = number_rows(mark_position(spark.read.text(path)), "line")
     return lines.groupBy(F.col("value").alias("token")).agg(F.max("line").alias("token_id"))
 
@@ -145,7 +145,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 def read_vectors(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, DataFrame]:
     """Word vectors ``(token, line, vector)`` and the rejected lines ``(line, token, width)``.
 
-    The first line is the header. A line of another width is rejected.
+    The first line of the first file is the header. A line of another width is rejected.
     """
     lines = number_rows(mark_position(spark.read.text(path)), "line").where("line > 0")
     parts = lines.select("line", F.split(F.trim("value"), r"\s+").alias("p"))
