@@ -12,7 +12,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 # Whole texts are long: Arrow batches are bounded in rows as well as in bytes.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

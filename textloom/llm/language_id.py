@@ -32,8 +32,8 @@ EPOCHS = 3
 HIDDEN = 16
 MAX_WORD = 46
 CHUNK = 4096
-CACHE_WORDS = 500_000
-WAITING = 150_000
+CACHE_WORDS = 300_000
+WAITING = 100_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 

@@ -12,7 +12,7 @@ import re
 import string
 
 import numpy as np
-CACHE_PIECES = 800_000  # of each of two generations
+CACHE_PIECES = 600_000  # of each of two generations
 TOGETHER = 30_000
 TAIL = "".join(c for c in string.punctuation if c not in "'<>|")
 MARK = "\x01"
