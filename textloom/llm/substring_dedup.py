@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, mix, partitions, words_of
 
 WINDOW = 35
-UNITS_PER_PARTITION = 4
+UNITS_PER_PARTITION = 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     bound_batches(spark)
     parts = partitions(spark)
-    units = buckets = UNITS_PER_PARTITION * parts
+    units, buckets = UNITS_PER_PARTITION * parts, parts
     block = (window + 1) // 2
     ident = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(
