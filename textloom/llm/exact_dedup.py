@@ -36,11 +36,8 @@ def surviving_map(docs: DataFrame, text: str = "text", map_bits: int = MAP_BITS)
     Both levels are counted with partial sums, so a pair shared by a third of all rows is one row per task.
     """
     pairs = docs.select(*_levels(or_empty(text))).groupBy("_len", "_head").agg(F.count(F.lit(1)).alias("n"))
-    by_length = pairs.groupBy("_len").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > 1, F.col("_head"))).alias("heads")
-    )
-    # A length that only one row has is settled here; so is a prefix inside it that only one row has.
-    twice = by_length.where("n > 1").select("_len", F.explode("heads").alias("_head"))
+    # A pair that two rows have is a length that two rows have, so this settles both levels and gathers no list of prefixes.
+    twice = pairs.where("n > 1")
     return bit_words(twice.select(_slot(map_bits).alias("slot")), map_bits)
 
 
