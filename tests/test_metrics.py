@@ -266,3 +266,9 @@ def test_unknown_bundle(spark):
         bundles.score("nope", frame(spark, [("a", "a")]))
     bundles.register_metric("count", lambda df, **c: df.agg(F.count("*").alias("N")), ("N",))
     assert bundles.score("count", frame(spark, [("a", "a")])).head().value == 1
+
+
+def test_masked_loss_refuses_targets_without_a_score(spark):
+    df = spark.createDataFrame([([[0.0, 1.0], [0.0, 1.0]], [0, 5])], "logits array<array<double>>, labels array<int>")
+    with pytest.raises(Exception, match="no score for target 5"):
+        loss.masked_loss(df).collect()

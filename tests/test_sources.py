@@ -185,6 +185,29 @@ def test_run_task(spark, tmp_path):
     assert {r.metric: r.value for r in tasks.score_predictions("emotion", labels).collect()}["ACC"] == 0.5
 
 
+LABELLING = ["aspect_extraction", "ner_grit", "ner_prosa", "pos_idn", "pos_prosa", "keyword_extraction", "qa_factoid", "emotion",
+             "entailment", "document_sentiment", "absa_hotel", "absa_car", "news_category"]
+
+
+@pytest.mark.parametrize("name", LABELLING)
+def test_run_labelling_task(spark, tmp_path, name):
+    t = tasks.task(name)
+    first, second = t.labels[0], t.labels[1]
+    text = {
+        "tagged": f"a\t{first}\nb\t{second}\n\n", "tagged_any_break": f"a\t{first}\nb\t{second}\n\n",
+        "factoid": f"question,passage,seq_label\n\"['q']\",\"['a', 'b']\",\"['{first}', '{second}']\"\n",
+        "emotion": f"label,tweet\n{first},a\n", "entailment": f"sent_A,sent_B,label\na,b,{first}\n",
+        "sentiment": f"a\t{first}\n", "news": f"a\t\"{first},{second}\"\n",
+    }.get(t.reader) or f"review,sentence,{','.join(t.aspects)}\na,b,{','.join([first] * len(t.aspects))}\n"
+    path = put(tmp_path, "t.txt", text)
+    gold = tasks.read_task(spark, name, "test", path).select("id", tasks.gold_labels(t).alias("hyp"))
+    assert gold.count() == 1
+    got = {r.metric: r.value for r in tasks.run_task(spark, name, gold, path).collect()}
+    assert got["ACC"] == 1 and set(got) == {"ACC", "F1", "REC", "PRE"}
+    missing = {r.metric: r.value for r in tasks.run_task(spark, name, gold.where("false"), path).collect()}
+    assert missing["ACC"] < 1
+
+
 def test_register(spark):
     tasks.register_task(tasks.Task("mine", "mine", "classes", "F1", {"test": "nowhere"}))
     tasks.register_reader("mine", lambda s, path, task: s.createDataFrame([(1, path)], "id bigint, p string"))

@@ -14,7 +14,10 @@ def _log_sum_exp(scores: Column) -> Column:
 
 
 def token_losses(logits: Column, labels: Column) -> Column:
-    """Loss of each kept target: the logits of a step are scored on the next step's label."""
+    """Loss of each kept target: the logits of a step are scored on the next step's label.
+
+    A target without a score fails the job.
+    """
     wide = F.transform(logits, lambda row: row.cast("array<double>"))
     steps = F.greatest(F.size(logits) - 1, F.lit(0))
     pairs = F.zip_with(
@@ -22,9 +25,13 @@ def token_losses(logits: Column, labels: Column) -> Column:
         lambda row, target: F.struct(row.alias("row"), target.alias("target")),
     )
     kept = F.filter(pairs, lambda p: p["target"] != IGNORE)
-    return F.transform(
-        kept, lambda p: _log_sum_exp(p["row"]) - F.get(p["row"], p["target"].cast("int"))
-    )
+
+    def score(p: Column) -> Column:
+        shown = F.coalesce(p["target"].cast("string"), F.lit("NULL"))
+        bad = F.raise_error(F.concat(F.lit("no score for target "), shown)).cast("double")
+        return F.coalesce(F.get(p["row"], p["target"].cast("int")), bad)
+
+    return F.transform(kept, lambda p: _log_sum_exp(p["row"]) - score(p))
 
 
 def masked_loss(df: DataFrame, logits: str = "logits", labels: str | None = "labels", inputs: str = "input_ids") -> DataFrame:

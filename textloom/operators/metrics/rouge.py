@@ -193,7 +193,7 @@ def bootstrap(
         id_col, *kinds, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     ).withColumn("w", poisson_weight(uniform))
     means = drawn.groupBy("rep").agg(
-        *[(F.sum(F.col(k) * F.col("w")) / F.sum("w") * 100).alias(k) for k in kinds]
+        *[(F.try_divide(F.sum(F.col(k) * F.col("w")), F.sum("w")) * 100).alias(k) for k in kinds]
     )
     long = means.unpivot([], list(kinds), "metric", "mean")
     # percentile() holds at most one value per replicate here.

@@ -165,5 +165,5 @@ def embedding_coverage(embedded: DataFrame) -> DataFrame:
     """Number and percentage of tokens with a given vector."""
     known, total = F.sum(F.col("known").cast("bigint")), F.count(F.lit(1))
     return embedded.agg(
-        known.alias("known"), total.alias("total"), (known * 100.0 / total).alias("percent")
+        known.alias("known"), total.alias("total"), F.when(total > 0, known * 100.0 / total).otherwise(0.0).alias("percent")
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import multi_hot
 from ..operators.layouts import model_family
 from . import bundles
 
@@ -266,10 +267,23 @@ def score_predictions(name: str, predictions: DataFrame, **columns) -> DataFrame
     return bundles.score(task(name).metrics, predictions, **columns)
 
 
+def gold_labels(t: Task) -> Column:
+    """Labels of a labelling task as read: tags of a sentence, a label name, one name per aspect, or for several
+    labels a row a 0/1 vector over the task's labels."""
+    if t.metrics == "chunks":
+        return F.col("seq_label" if t.reader == "factoid" else "tags")
+    if t.aspects:
+        return F.array(*[F.col(a) for a in t.aspects])
+    if t.metrics == "multi_classes":
+        return multi_hot(F.col("label_indices"), len(t.labels))
+    return F.col("sentiment" if t.reader == "sentiment" else "label")
+
+
 def run_task(spark: SparkSession, name: str, hypotheses: DataFrame, path: str | None = None, split: str = "test") -> DataFrame:
     """Read a split, pair it with ``hypotheses(id, hyp)`` and score.
 
-    Generation and answer tasks: the reference text is the lower-cased target, as it was encoded.
+    Generation and answer tasks: the reference text is the lower-cased target, as it was encoded. Labelling tasks: ``hyp``
+    has the form of :func:`gold_labels`.
     """
     from ..operators.predictions import pair_with_references
 
@@ -281,4 +295,6 @@ def run_task(spark: SparkSession, name: str, hypotheses: DataFrame, path: str |
         rows = rows.select("id", F.lower("label").alias("label"))
     elif t.reader == "dialogue":
         rows = rows.select("id", F.lower("reply").alias("label"))
+    elif t.labels:
+        rows = rows.select("id", gold_labels(t).alias("label"))
     return score_predictions(name, pair_with_references(hypotheses, rows))
