@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import (
-    exact_dedup, html_extraction, imatch, language_id, mixing, packing, simhash, substring_dedup, token_files, url_filter,
+    exact_dedup, html_extraction, imatch, language_id, mixing, near_copies, packing, simhash, substring_dedup, token_files, url_filter,
 )
+import corpus_pipeline
 from textloom.llm.queries import tokenizer_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa la mu nu xi omicron pi rho sigma tau".split()
@@ -202,3 +203,33 @@ def test_html_extraction(spark):
 def test_tree_matching_keeps_order_and_labels():
     a, b = html_extraction.from_text("r(x(y),z,w)"), html_extraction.from_text("r(x(y,q),w)")
     assert html_extraction.match(a, b)[0] == 4
+
+
+def test_near_copies_of_pipeline(spark):
+    rng = np.random.default_rng(5)
+    rows, base = [], 0
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 200)]
+        rows.append((base, " ".join(words)))
+        for k in range(6):
+            changed = list(words)
+            for at in rng.choice(200, 1 + g % 6, replace=False):
+                changed[at] = f"v{g}x{k}x{at}"
+            rows.append((base + k + 1, " ".join(changed).upper() if k == 3 else " ".join(changed)))
+        base += 10
+    rows += [(500, "one line " * 3 + f"tail {k}") for k in range(2)] + [(600, None), (601, " \n"), (None, rows[0][1])]
+    rows += [(0, rows[7][1] + " more")]  # an id repeated with a text of another group
+    docs = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id bigint, text string, source string").repartition(5)
+    plain = [(lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})((t or "").lower().split()) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in range(len(rows)):
+        new = [min(root[j] for j, b in enumerate(plain) if len(a & b) >= 0.8 * len(a | b)) for a in plain]
+        new = [min(x, root[x]) for x in new]
+        if new == root:
+            break
+        root = new
+    first = {r: min((i for (i, _), s in zip(rows, root) if s == r and i is not None), default=None) for r in set(root)}
+    want = Counter((i, t) for (i, t), r in zip(rows, root) if i is None or i == first[r])
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    assert near_copies.keep_one(docs.limit(0)).count() == 0 and dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").count() == sum(want.values())
