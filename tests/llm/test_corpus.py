@@ -233,3 +233,20 @@ def test_near_copies_of_pipeline(spark):
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == want
     assert near_copies.keep_one(docs.limit(0)).count() == 0 and dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").count() == sum(want.values())
+
+
+def test_mixing_carries_the_budget_over_blocks(spark):
+    long = [("long", 400)] * 150
+    mixed = [("mixed", 1000 if i % 50 == 7 else 2) for i in range(2000)]
+    docs = spark.createDataFrame([(i, s, "w " * n, n) for i, (s, n) in enumerate(long + mixed)], "doc_id bigint, source string, text string, n int").repartition(7)
+    total = Counter()
+    for s, n in long + mixed:
+        total[s] += n
+    for ratio in (0.2, 0.4, 0.6, 1.3):
+        plan = spark.createDataFrame([(s, ratio, w // 328 + 1) for s, w in total.items()], "source string, ratio double, blocks bigint")
+        got = {(r.source, r.n): r.k for r in mixing.mix(docs, plan).groupBy("source", "n").agg(F.count("*").alias("k")).collect()}
+        have = Counter(long + mixed)
+        assert all(abs(got.get(k, 0) - ratio * c) <= 1 for k, c in have.items())
+    rows = docs.union(docs.where("doc_id < 20")).withColumn("source", F.when(F.col("source") == "mixed", F.col("source")))
+    plan = spark.createDataFrame([("", 2.0, 9), ("mixed", 1.0, 300)], "source string, ratio double, blocks bigint")
+    assert mixing.mix(rows, plan).groupBy("source").count().collect() and mixing.mix(rows, plan).count() == 2 * 170 + 2000

@@ -6,7 +6,8 @@ source is repeated more often than the limit. A source then has ``ratio = weight
 are used. Each source is cut into blocks of about ``block_words`` words by a hash of the id; each block is permuted by that
 hash and realises the ratio itself: all of it ``floor(ratio)`` times, and from the start of the permutation as many documents again
 as the rest of its budget holds (a document that the budget cuts is in if its middle is). So no task sees more than a block,
-and a source with a third of all rows is many blocks.
+and a source with a third of all rows is many blocks. ``assign`` gives this, as the query and its SQL have it: each block rounds on
+its own, so documents about as long as a block miss the ratio. ``mix`` counts through all blocks of a source instead (``counted``).
 
 A null source counts as the empty name, a null text as no words, a null id as the empty id. Rows that repeat an id stand
 side by side in their block. Sources without words have weight 0. Extra columns are kept by ``mix``. DataFrame functions only.
@@ -114,8 +115,35 @@ def assign(
     return rows.withColumn("_copies", copies).drop("_source", "_digest", "_ratio", "_blocks", "_upto", "_all")
 
 
+def counted(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs`` with ``_copies``, rounded once over the whole source and not in each block.
+
+    A source's rows stand in order of length class (powers of two), block and hash. The row at place k of its source is used
+    ``floor(ratio * (k + 1) + 1/2) - floor(ratio * k + 1/2)`` times, so every run of rows realises the ratio up to one row, long
+    and short documents alike, however long they are beside a block. Places are counted within blocks; a narrow table of the
+    blocks' counts, summed in two steps, has where each one starts.
+    """
+    own = plan.select(F.col("source").alias("_source"), F.col("ratio").alias("_ratio"), F.col("blocks").alias("_blocks"))
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    rows = docs.withColumns({"_source": F.coalesce(F.col(source), F.lit("")), "_words": word_count(text), "_digest": digest}).join(own, "_source")
+    high = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint")
+    rows = rows.withColumns({"_class": F.length(F.bin("_words")), "_block": F.shiftright(high * F.col("_blocks"), 32)})
+    block = ["_source", "_class", "_block"]
+    sizes = saved(rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).withColumn("_super", F.shiftright("_block", 8)), "blocks")
+    supers = sizes.groupBy("_source", "_class", "_super").agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy("_source").orderBy("_class", "_super").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_source", "_class", "_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = supers.select("_source", "_class", "_super", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    offsets = sizes.withColumn("_within", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(starts, ["_source", "_class", "_super"])
+    offsets = saved(offsets.select(*block, (F.col("_before") + F.col("_within")).alias("_start")), "offsets")
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("_digest", "_words"))
+    rows = rows.withColumn("_place", place).join(offsets, block).withColumn("_upto", F.col("_start") + F.col("_place"))
+    copies = F.floor(F.col("_ratio") * F.col("_upto") + 0.5) - F.floor(F.col("_ratio") * (F.col("_upto") - 1) + 0.5)
+    return rows.withColumn("_copies", copies.cast("int")).select(*docs.columns, "_copies")
+
+
 def mix(docs: DataFrame, plan: DataFrame | None = None, **columns: str) -> DataFrame:
     """The rows of ``docs`` as often as the weights say, with the columns of ``docs``."""
     plan = weights(docs, **{k: v for k, v in columns.items() if k != "doc_id"}) if plan is None else plan
-    rows = assign(docs, plan, **columns).where("_copies > 0")
+    rows = counted(docs, plan, **columns).where("_copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
