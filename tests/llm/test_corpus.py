@@ -250,3 +250,16 @@ def test_mixing_carries_the_budget_over_blocks(spark):
     rows = docs.union(docs.where("doc_id < 20")).withColumn("source", F.when(F.col("source") == "mixed", F.col("source")))
     plan = spark.createDataFrame([("", 2.0, 9), ("mixed", 1.0, 300)], "source string, ratio double, blocks bigint")
     assert mixing.mix(rows, plan).groupBy("source").count().collect() and mixing.mix(rows, plan).count() == 2 * 170 + 2000
+
+
+def test_imatch_lexicon_is_exact(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join([f"own{i}x{k}" for k in range(400)] + [f"Shared{x}" for x in rng.integers(0, 3000, 200)]) for i in range(600)]
+    df = Counter(w for t in texts for w in set(t.lower().encode().split()))
+    inside = [w for w, n in df.items() if 2.0 <= np.log(len(texts) / n) <= 6.0]
+    want = np.sort(imatch.WordHashes(seed=17).of(inside))
+    docs = spark.createDataFrame([(t,) for t in texts] , "text string").repartition(5)
+    assert 0 < len(want) < len(df) and np.array_equal(imatch.lexicon(docs, low=2.0, high=6.0), want)
+    lone = texts[0].lower().encode().split()[0]
+    assert imatch.WordHashes(seed=17).of([lone])[0] not in want
+    assert len(imatch.lexicon(docs.limit(0))) == 0 and not imatch.fingerprint(None, want).any() and imatch.fingerprint("a b", want[:0]).any()

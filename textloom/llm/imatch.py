@@ -1,8 +1,7 @@
 """I-Match fingerprints with randomised lexicons.
 
-The lexicon keeps terms whose inverse document frequency, ``ln(documents / df)``, lies in a band. Document frequencies are counted
-over all documents in a table of fixed size, ``BUCKETS`` hashed terms, so the lexicon is a bit map of fixed size whatever the
-vocabulary. A text's distinct lexicon terms are sorted and hashed for several random subsets of the lexicon: ``CHAINS`` chains of
+The lexicon keeps terms whose inverse document frequency, ``ln(documents / df)``, lies in a band. Document frequencies are
+counted for each term (by 64-bit hash) over all documents; the band bounds the number of terms in the lexicon. A text's distinct lexicon terms are sorted and hashed for several random subsets of the lexicon: ``CHAINS`` chains of
 nested subsets, each half of the one before. Small subsets survive edits, large ones tell texts apart. Two fingerprints are as
 alike as the share of chains that agree on the smallest subset in which either text has a term.
 
@@ -22,8 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bound_batches, mix, partitions, words_of
 
-BUCKETS = 1 << 20
-SLAB = 1 << 12
+HELD_TERMS = 1 << 20
 LOW_IDF, HIGH_IDF = 3.0, 9.0
 CHAINS, LEVELS = 12, 12
 _HASHES: list[WordHashes] = []
@@ -38,35 +36,40 @@ def terms(text: str | None) -> np.ndarray:
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW_IDF, high: float = HIGH_IDF) -> np.ndarray:
-    """Bit map, as bytes, of the term buckets in the band: ``BUCKETS`` bits on the driver, however large the corpus."""
+    """Sorted hashes of the terms in the band, by exact frequencies.
+
+    A term in the band stands in at least ``exp(-high)`` of the documents, so the lexicon holds at most ``exp(high)`` times the mean
+    number of distinct terms of a document, however large the corpus: a sorted list that fits the driver and every task.
+    """
     total = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(BUCKETS, np.uint32)
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            term, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found = terms(t)
+                held.append(found)
+                size += len(found)
+                if size >= HELD_TERMS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(terms(t) % np.uint64(BUCKETS)) for t in b.column(0).to_pylist()]
-            if found:
-                df += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        slabs = df.reshape(-1, SLAB)
-        some = np.flatnonzero(slabs.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([slabs[i].tobytes() for i in some], pa.binary())], names=["slab", "df"]
-        )
-
-    def band(table: pa.Table) -> pa.Table:
-        df = np.zeros(SLAB, np.int64)
-        for data in table.column("df").to_pylist():
-            df += np.frombuffer(data, np.uint32)
-        with np.errstate(divide="ignore"):
-            idf = np.log(total / df)
-        bits = np.packbits((df > 0) & (idf >= low) & (idf <= high))
-        return pa.table({"slab": table.column("slab").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    counted = docs.select(text).mapInArrow(count, "slab int, df binary")
-    out = np.zeros((BUCKETS // SLAB, SLAB // 8), np.uint8)
-    for r in counted.groupBy("slab").applyInArrow(band, "slab int, bits binary").collect():
-        out[r.slab] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], names=["terms"])
+
+    df = docs.select(text).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+    idf = F.log(F.lit(float(total)) / F.col("df"))
+    inside = df.where((idf >= low) & (idf <= high)).select("term").mapInArrow(packed, "terms binary")
+    parts = [np.frombuffer(bytes(r.terms), np.uint64) for r in inside.collect()]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def fingerprint(text: str | None, words: np.ndarray) -> np.ndarray:
@@ -75,8 +78,7 @@ def fingerprint(text: str | None, words: np.ndarray) -> np.ndarray:
     slots = np.zeros((CHAINS, LEVELS), np.uint16)
     if len(h) == 0:
         return slots
-    bucket = h % np.uint64(BUCKETS)
-    known = h[(words[(bucket >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bucket & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+    known = h[words[np.minimum(np.searchsorted(words, h), len(words) - 1)] == h] if len(words) else h[:0]
     h = known if len(known) else h
     with np.errstate(over="ignore"):
         z = mix(h ^ _SEEDS[0])
