@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extraction, imatch, language_id, mixing, packing, simhash, substring_dedup, token_files, url_filter
+from . import (
+    decontamination, exact_dedup, html_extraction, imatch, language_id, mixing, packing, simhash, substring_dedup, token_files, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +160,28 @@ def temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     found = mixing.assign(docs, mixing.weights(docs), drop_text=True)
     return found.select("doc_id", "source", F.col("_words").alias("n_words"), F.col("_block").alias("block"), F.col("_place").alias("place"), F.col("_copies").alias("copies"))
+
+
+@query("op12_decontamination", r"""
+with w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as (
+  select item_id::varchar as item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), windows as (
+  select distinct item, least(len(ws), 10) as n, array_to_string(ws[p : p + 9], ' ') as g
+  from b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(p) where len(ws) > 0
+), runs as (
+  select r, p, n, array_to_string(ws[p : p + n - 1], ' ') as g
+  from w, (select distinct n from windows) l, unnest(range(1, len(ws) - n + 2)) t(p)
+), hits as (select r, p, n, item from runs join windows using (n, g)
+), words as (select r, count(distinct p + k)::bigint as n_hit from hits, unnest(range(0, n)) t(k) group by r
+), items as (select r, count(item)::bigint as n_items, string_agg(item, ',' order by item) as list from (select distinct r, item from hits) group by r
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(list, '')) as items_sha256, n_hit is not null as contaminated
+from w left join words using (r) left join items using (r)
+""")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
