@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, exact_dedup, html_extraction, imatch, language_id, mixing, packing, simhash, substring_dedup, token_files, url_filter,
+    conversation_repair, decontamination, exact_dedup, html_extraction, imatch, language_id, mixing, packing, simhash, substring_dedup,
+    token_files, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,73 @@ from w left join words using (r) left join items using (r)
 """)
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _add(way: str, cost: str, edit: str) -> str:
+    """SQL: a way (ten digits of cost, then edits) with an edit more."""
+    return f"lpad((left({way}, 10)::bigint + {cost})::varchar, 10, '0') || substr({way}, 11) || '{edit}'"
+
+
+# The twin keeps, for each of four states, the least way as text; costs are padded, so the least text is the cheapest way.
+@query("op13_conversation_repair", f"""
+with recursive crc as (
+  select list(list_reduce([c::bigint] || range(0, 8), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) order by c) as t
+  from range(0, 256) r(c)
+), keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations
+), harmed as (
+  select *, xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i, 1))::bigint),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as harm from keyed, crc
+), damaged as (
+  select conv_id, turn, case when harm = 4 then 'user' else role end as role,
+    case when harm = 1 then '' when harm = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when harm = 0 then [] when harm = 3 then [1, 2] else [1] end) as copy from harmed
+), ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as k,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again,
+    regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') as body, left(role, 1) as i from damaged
+), rows_after as (
+  select *, case when body = '' then 'b' when again > 1 then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else '.' end as fault,
+    lag(i) over (partition by conv_id order by k) as before from ordered
+), faults as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'b') as blank,
+    count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (k > 1 and before || i not in ('su', 'ua', 'au')) as illegal from rows_after group by conv_id
+), ways as (
+  select conv_id, 0::bigint as k, '0000000000' as t0, null::varchar as t1, null::varchar as t2, null::varchar as t3 from faults
+  union all
+  select conv_id, k, {_add('t0', '3', 'D')},
+    least({_add('t1', '3', 'D')}, case when stays and i = 's' then {_add('t0', 'extra', 'K')} end),
+    least({_add('i2', '3', 'D')}, case when stays and i = 'u' then least({_add('t0', 'extra', 'K')}, {_add('t1', 'extra', 'K')}, {_add('i3', 'extra', 'K')}) end,
+      case when stays then least({_add('t0', 'extra + 2', 'R')}, {_add('t1', 'extra + 2', 'R')}, {_add('i3', 'extra + 2', 'R')}) end),
+    least({_add('i3', '3', 'D')}, case when stays and i = 'a' then {_add('i2', 'extra', 'K')} end, case when stays then {_add('i2', 'extra + 2', 'R')} end)
+  from (
+    select w.conv_id, r.k, r.i, r.fault not in ('b', 'd') as stays, (r.fault = 't')::bigint as extra, w.t0, w.t1,
+      least(w.t2, {_add('w.t0', '2', 'I')}, {_add('w.t1', '2', 'I')}, {_add('w.t3', '2', 'I')}) as i2, least(w.t3, {_add('w.t2', '2', 'I')}) as i3
+    from ways w join rows_after r on r.conv_id is not distinct from w.conv_id and r.k = w.k + 1
+  ) steps
+), best as (
+  select conv_id, least(t0, t3, {_add('t2', '2', 'I')}, {_add('t1', '4', 'II')}) as way
+  from (select *, row_number() over (partition by conv_id order by k desc) as last from ways) where last = 1
+), edits as (
+  select conv_id, p, substr(way, 10 + p, 1) as edit, way from best, unnest(range(1, length(way) - 9)) t(p)
+), placed as (
+  select e.conv_id, p, edit, sum((edit <> 'I')::int) over o as k, sum((edit <> 'D')::int) over o as place
+  from edits e window o as (partition by e.conv_id order by p)
+), filled as (
+  select p.conv_id, p.p, p.edit, p.place, r.role, r.text,
+    max((p.place = 1 and p.edit = 'K' and r.i = 's')::int) over (partition by p.conv_id) as system
+  from placed p left join rows_after r on r.conv_id is not distinct from p.conv_id and r.k = p.k and p.edit <> 'I'
+), lines as (
+  select conv_id, string_agg(case when edit = 'K' then role when (place - system) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by p)
+    filter (edit <> 'D') as whole from filled group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(left(way, 10)::bigint, 0) as cost, coalesce(substr(way, 11), '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join faults f on f.conv_id is not distinct from c.conv_id
+  left join best b on b.conv_id is not distinct from c.conv_id left join lines l on l.conv_id is not distinct from c.conv_id
+""")
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    harmed = conversation_repair.damaged(table(spark, folder, "conversations"))
+    return conversation_repair.report(harmed, count=F.col("count"))
