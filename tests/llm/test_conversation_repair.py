@@ -112,3 +112,17 @@ def test_damage_and_empty_table(spark):
         want = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
         assert got[conv, turn] == ("user" if k == 4 else role, want, {0: 0, 3: 2}.get(k, 1))
     assert repair.report(table.limit(0)).count() == repair.repair(table.limit(0)).count() == 0
+
+
+def test_blocks_join_to_the_whole_search(monkeypatch):
+    rng = random.Random(9)
+    for block in (1, 2, 5):
+        monkeypatch.setattr(repair, "BLOCK", block)
+        for _ in range(150):
+            segment, text = repair.Segment("c"), ""
+            for turn in range(rng.randint(0, 12)):
+                role = rng.choice("uuaast")
+                blank, earlier, cut, count = rng.random() < 0.1, rng.random() < 0.1, rng.random() < 0.2, rng.choice([1, 1, 1, 9])
+                segment.add(turn, role, role, count, blank, earlier, cut)
+                text += role + ("x" if blank or earlier else "t" if cut else ".") + " x" * (count - 1)
+            assert repair.finished(segment.ways()) == repair.search(text, 0, repair._ACCEPT)

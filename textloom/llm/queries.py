@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     conversation_repair, decontamination, exact_dedup, html_extraction, imatch, language_id, mixing, packing, simhash, substring_dedup,
-    token_files, url_filter,
+    token_alignment, token_files, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,9 @@ from (select distinct conv_id from conversations) c left join faults f on f.conv
 def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
     harmed = conversation_repair.damaged(table(spark, folder, "conversations"))
     return conversation_repair.report(harmed, count=F.col("count"))
+
+
+@query("op11_token_alignment")
+def token_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_alignment.report(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
