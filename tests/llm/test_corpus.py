@@ -263,3 +263,32 @@ def test_imatch_lexicon_is_exact(spark):
     lone = texts[0].lower().encode().split()[0]
     assert imatch.WordHashes(seed=17).of([lone])[0] not in want
     assert len(imatch.lexicon(docs.limit(0))) == 0 and not imatch.fingerprint(None, want).any() and imatch.fingerprint("a b", want[:0]).any()
+
+
+def test_near_copies_in_large_groups_and_buckets(spark, monkeypatch):
+    """A group of copies, and texts that share half of theirs but are no copies; buckets of any size give the same."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for k in range(400):  # near copies of one text: one word in 120 differs, so 110 of 121 or more shingles agree with the first
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    passage = [f"p{x}" for x in range(60)]
+    rows += [(1000 + k, " ".join(passage + [f"q{k}x{x}" for x in rng.integers(0, 9000, 40)])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    kept = {r.doc_id for r in near_copies.keep_one(docs).collect()}
+    assert kept == {0} | {1000 + k for k in range(400)}
+    monkeypatch.setattr(near_copies, "TILE", 50)
+    monkeypatch.setattr(near_copies, "SHINGLES", 3000)
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == kept
+
+
+def test_near_copies_never_make_pairs(spark):
+    words = [f"w{x}" for x in range(200)]
+    rows = [(k, " ".join(words[:k] + [f"v{k}"] + words[k + 1 :])) for k in range(200)]
+    nodes = spark.createDataFrame(rows, "id bigint, text string").select(near_copies.text_key("text").alias("fp"), "text")
+    sketches = near_copies.sketched(nodes).cache()
+    assert near_copies.clusters(sketches).count() < near_copies.BANDS * len(rows)
+    roots = near_copies.components(near_copies.clusters(sketches))
+    assert near_copies.verified(roots, nodes, sketches).count() == len(rows) - 1

@@ -5,7 +5,8 @@
 false on the padding of the file's last sequence; ``docs-*.arrow`` holds each document's place. Both are memory-mapped
 as they are: a sequence, or any span of ids, is a slice of the file without copies.
 
-A file is written under a name of its own and then renamed, so a task that runs again replaces it whole. A null text has no
+A file is written under a name of its own and then renamed, so a task that runs again replaces it whole where the file system's
+rename replaces files, and fails otherwise. A null text has no
 ids but its end id. Null ids come first; rows that repeat an id keep an order by text. Extra columns are not read.
 """
 
@@ -46,46 +47,37 @@ def id_type(path: str) -> pa.DataType:
     return pa.uint16() if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else pa.uint32()
 
 
-def _batch(ids: np.ndarray, mask: np.ndarray, schema: pa.Schema, length: int) -> pa.RecordBatch:
-    columns = [
-        pa.FixedSizeListArray.from_arrays(pa.array(ids, schema.field(0).type.value_type), length),
-        pa.FixedSizeListArray.from_arrays(pa.array(mask), length),
-    ]
-    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 class SequenceFile:
-    """Cuts a stream of ids into sequences and writes them batch by batch."""
+    """Cuts a stream of ids into sequences and writes them in batches of ``BATCH_SEQUENCES``; only the last batch may be smaller."""
 
     def __init__(self, sink, kind: pa.DataType, length: int):
-        self.length, self.total, self.left = length, 0, []
+        self.length, self.total, self.left, self.held = length, 0, [], 0
+        self.kind = kind
         self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
-        self.kind = kind.to_pandas_dtype()
         self.writer = pa.ipc.new_file(sink, self.schema)
+        self.true = pa.array(np.ones(length * BATCH_SEQUENCES, bool))  # of every full batch
 
     def add(self, ids: np.ndarray) -> None:
-        self.left.append(ids.astype(self.kind))
+        self.left.append(ids.astype(self.kind.to_pandas_dtype()))
         self.total += len(ids)
-        if sum(map(len, self.left)) >= self.length * BATCH_SEQUENCES:
-            self._flush(False)
-
-    def _flush(self, end: bool) -> None:
-        ids = np.concatenate(self.left) if self.left else np.zeros(0, self.kind)
-        whole = len(ids) // self.length * self.length
+        self.held += len(ids)
         step = self.length * BATCH_SEQUENCES
-        for a in range(0, whole, step):
-            part = ids[a : min(a + step, whole)]
-            self.writer.write_batch(_batch(part, np.ones(len(part), bool), self.schema, self.length))
-        rest = ids[whole:]
-        if end and len(rest):
-            padded = np.zeros(self.length, self.kind)
-            padded[: len(rest)] = rest
-            self.writer.write_batch(_batch(padded, np.arange(self.length) < len(rest), self.schema, self.length))
-            rest = rest[:0]
-        self.left = [rest]
+        if self.held >= step:
+            held = np.concatenate(self.left)
+            whole = len(held) // step * step
+            for at in range(0, whole, step):
+                self._write(held[at : at + step], self.true)
+            self.left, self.held = [held[whole:]], len(held) - whole
+
+    def _write(self, ids: np.ndarray, mask: pa.Array) -> None:
+        columns = [pa.FixedSizeListArray.from_arrays(values, type=f.type) for values, f in zip((pa.array(ids, self.kind), mask), self.schema)]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
-        self._flush(True)
+        if self.held:
+            padded = np.zeros(-(-self.held // self.length) * self.length, self.kind.to_pandas_dtype())
+            padded[: self.held] = np.concatenate(self.left)
+            self._write(padded, pa.array(np.arange(len(padded)) < self.held))
         self.writer.close()
 
 
@@ -117,13 +109,11 @@ def write(
                 if places is None:
                     docs_schema = pa.schema([("doc_id", b.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     places = pa.ipc.new_file(docs_sink, docs_schema)
-                starts, counts = [], []
-                for data in encode.encode(b.column(1).to_pylist()):
-                    one = np.frombuffer(data + end, "<u4")
-                    starts.append(ids.total)
-                    counts.append(len(one))
-                    ids.add(one)
-                places.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=docs_schema))
+                encoded = encode.encode(b.column(1).to_pylist())
+                counts = np.array([len(data) // 4 + 1 for data in encoded], np.int64)
+                starts = ids.total + np.cumsum(counts) - counts
+                ids.add(np.frombuffer(end.join([*encoded, b""]), "<u4"))
+                places.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), pa.array(counts)], schema=docs_schema))
                 n_docs += b.num_rows
             ids.close()
             if places is not None:
@@ -161,15 +151,13 @@ def flat_ids(reader: pa.ipc.RecordBatchFileReader, batch: int) -> np.ndarray:
 
 
 def sequence(uri: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``number`` of a file with its mask. All batches but the last are full, or hold one padded sequence."""
+    """Sequence ``number`` of a file with its mask, by its place: all batches but the last are full."""
     reader = open_mapped(uri)
-    for i in range(reader.num_record_batches):
-        b = reader.get_batch(i)
-        if number < b.num_rows:
-            row = b.slice(number, 1)
-            return row.column(0).flatten().to_numpy(zero_copy_only=True), row.column(1).flatten().to_numpy(zero_copy_only=False)
-        number -= b.num_rows
-    raise IndexError("no such sequence")
+    batch, row = divmod(number, BATCH_SEQUENCES)
+    if not 0 <= batch < reader.num_record_batches or row >= (b := reader.get_batch(batch)).num_rows:
+        raise IndexError("no such sequence")
+    one = b.slice(row, 1)
+    return one.column(0).flatten().to_numpy(zero_copy_only=True), one.column(1).flatten().to_numpy(zero_copy_only=False)
 
 
 def read_documents(manifest: DataFrame, ident: str = "bigint") -> DataFrame:
@@ -192,9 +180,9 @@ def read_documents(manifest: DataFrame, ident: str = "bigint") -> DataFrame:
                         while seen < n:
                             if start + seen >= at + len(have):
                                 at += len(have)
-                                have, next_batch = flat_ids(ids, next_batch), next_batch + 1
+                                have, next_batch = flat_ids(ids, next_batch).astype("<u4"), next_batch + 1
                             piece = have[start + seen - at : start + n - at]
-                            crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
+                            crc = zlib.crc32(piece, crc)
                             seen += len(piece)
                         crcs.append(crc)
                     starts = pa.array(docs.column(1).to_numpy() + row["base"])

@@ -1,8 +1,10 @@
 """Token ids of whole texts from a tokenizer file, with a bounded memory of word pieces.
 
 A text is cut only where no token of the file can reach across: before a space that follows a
-character that is no white space. The ids of the pieces in order are then the ids of the text,
-and frequent pieces are encoded once per Python worker.
+character that is no white space. The ids of the pieces in order are then the ids of the text, as one plain call
+gives them, and frequent pieces are encoded once per Python worker. Texts that reading in pieces could change are encoded
+whole: those with the string of a special token, and, where the file lower-cases, those with a letter whose
+lower case depends on its neighbours. Long pieces are not remembered.
 """
 
 from __future__ import annotations
@@ -12,11 +14,14 @@ import re
 import string
 
 import numpy as np
+
 CACHE_PIECES = 600_000  # of each of two generations
 TOGETHER = 30_000
 TAIL = "".join(c for c in string.punctuation if c not in "'<>|")
 MARK = "\x01"
 GROUP = 200
+LONG_PIECE = 64
+NEIGHBOURLY = re.compile("[\u03a3\u0130]")  # capital sigma, dotted capital I
 _SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
 
@@ -34,7 +39,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.spaces = spaces
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -43,19 +49,26 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
+        if "<" in text and self.whole.search(text):
+            return [text]
         if not self.spaces:
-            # The file lower-cases letter by letter; only the capital sigma depends on its neighbours elsewhere.
-            text = text if "\u03a3" in text else text.lower()
-            return [p for p in text.split(" ") if p]
+            return [text] if NEIGHBOURLY.search(text) else [p for p in text.lower().split(" ") if p]
         if _SPACE_RUN.search(text):
             return [p for p in _CUT.split(text) if p]
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + p for p in rest]
 
+    def _apart(self, piece: str) -> bool:
+        """Whether a piece is encoded by a call of its own."""
+        return len(piece) > LONG_PIECE or MARK in piece or bool(NEIGHBOURLY.search(piece)) or "<" in piece and bool(self.whole.search(piece))
+
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of new pieces. A word and the punctuation at its end are encoded apart."""
         ends, unknown = {}, set()
         for p in new:
+            if self._apart(p):
+                unknown.add(p)
+                continue
             base = p.rstrip(TAIL)
             if base != p and base and base[-1].isalnum():
                 ends[p] = base, p[len(base) :]
@@ -63,7 +76,7 @@ class Encoder:
             else:
                 unknown.add(p)
         unknown = [p for p in unknown if p not in self.cache]
-        alone = [p for p in unknown if MARK in p or (self.spaces and p[0] != " ")]
+        alone = [p for p in unknown if (self.spaces and p[0] != " ") or self._apart(p)]
         for piece, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             self.cache[piece] = np.array(e.ids, "<u4").tobytes()
         together = list(set(unknown).difference(alone))
@@ -107,10 +120,14 @@ class Encoder:
             new.difference_update(again)
         self._learn(list(new))
         get = self.cache.__getitem__
-        return [
+        out = [
             b"".join([get(p) if ids is None else ids for p, ids in zip(pieces, found)] if missing else found)
             for pieces, found, missing in cut
         ]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del self.cache[p]
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
