@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ..operators import predictions, vocab
+from ..plans import tasks
 from ..session import scratch_path
 from ..sources import readers, sinks
 from . import inputs as I
@@ -68,3 +71,150 @@ def predictions_file(spark, folder):
     sinks.write_predictions(I.pairs(spark, folder), path)
     read = spark.read.option("multiLine", True).option("escape", '"').csv(path, header=True)
     return read.select("id", "hyp", "label")
+
+
+@query("parallel_array_file", f"with {I.PAIRS_SQL} select cast(id as varchar) id, hyp \"text\", label from pairs")
+def parallel_array_file(spark, folder):
+    """JSON arrays, read in splits."""
+    path = scratch_path(spark, "parallel-array")
+    sinks.write_json_array(I.pairs(spark, folder).select(F.col("id").cast("string").alias("id"), F.col("hyp").alias("text"), "label"), path)
+    return readers.read_parallel(spark, path)
+
+
+@query("question_array_file", f"with {I.QA_SQL} select cast(id as varchar) id, context, question, '{{' || id || '\"}}' label from qa")
+def question_array_file(spark, folder):
+    """Labels hold a quote and braces, as texts may."""
+    path = scratch_path(spark, "question-array")
+    label = F.concat(F.lit("{"), F.col("id").cast("string"), F.lit('"}'))
+    rows = I.qa(spark, folder).select(F.col("id").cast("string").alias("id"), "context", "question", label.alias("label"))
+    sinks.write_json_array(rows, path)
+    return readers.read_questions(spark, path)
+
+
+@query("dialogue_array_file", f"""with {I.TURNS_SQL}, d as (select conv_id, count(*) turns,
+string_agg(user_text || chr(31) || reply, chr(30) order by k) dialogue from turns group by conv_id)
+select row_number() over (order by conv_id) - 1 conv_id, turns, dialogue from d""")
+def dialogue_array_file(spark, folder):
+    """Ids are the places in the files, which are written in order of the conversations."""
+    path = scratch_path(spark, "dialogue-array")
+    turn = F.struct("k", F.array("user_text", "reply").alias("pair"))
+    talks = I.turns(spark, folder).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t")).orderBy("conv_id")
+    rows = talks.select(F.array(F.lit("i like tea")).alias("persona"), F.transform("t", lambda t: t["pair"]).alias("dialogue"))
+    sinks.write_json_array(rows, path)
+    read = readers.read_dialogues(spark, path)
+    text = F.array_join(F.transform("dialogue", lambda p: F.array_join(p, "\x1f")), "\x1e")
+    return read.select("conv_id", F.size("dialogue").cast("bigint").alias("turns"), text.alias("dialogue"))
+
+
+@query("tagged_any_break_file", f"""with {I.TAGGED_SQL} select array_to_string(w, ' ') tokens, array_to_string(gold, ' ') tags
+from tagged where len(w) > 0""")
+def tagged_any_break_file(spark, folder):
+    """A line of words without a tab ends a sentence."""
+    path = scratch_path(spark, "tagged-any")
+    lines = F.zip_with("words", "gold", lambda w, t: F.concat(w, F.lit("\t"), t))
+    rows = I.tagged(spark, folder).select(F.concat(F.array_join(lines, "\n"), F.lit("\nend of "), F.col("id")).alias("value"))
+    rows.write.text(path)
+    read = readers.read_tagged(spark, path, any_break=True)
+    return read.select(I.joined(F.col("tokens")).alias("tokens"), I.joined(F.col("tags")).alias("tags"))
+
+
+EMOTION_SQL = "['sadness', 'anger', 'love', 'fear', 'happy'][doc_id % 5 + 1]"
+
+
+@query("emotion_file", f"""select row_number() over (order by doc_id) - 1 id, text || '"' || chr(10) || '"end' tweet, {EMOTION_SQL} label,
+doc_id % 5 label_index from documents""")
+def emotion_file(spark, folder):
+    """A header and quoted cells with line breaks and quotes, read in splits and numbered in file order."""
+    path = scratch_path(spark, "emotion")
+    labels = tasks.task("emotion").labels
+    label = F.element_at(F.array(*map(F.lit, labels)), (F.col("id") % 5 + 1).cast("int"))
+    rows = I.documents(spark, folder).orderBy("id").select(F.concat("text", F.lit('"\n"end')).alias("tweet"), label.alias("label"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    read = tasks.read_task(spark, "emotion", "train", path)
+    return read.select("id", "tweet", "label", F.col("label_index").cast("bigint").alias("label_index"))
+
+
+@query("sentiment_file", """select row_number() over (order by doc_id) - 1 id, text || chr(9) || chr(10) || 'x' "text",
+['positive', 'neutral', 'negative'][doc_id % 3 + 1] sentiment from documents""")
+def sentiment_file(spark, folder):
+    """No header, tabs between the cells, and inside one."""
+    path = scratch_path(spark, "sentiment")
+    label = F.element_at(F.array(*map(F.lit, tasks.task("document_sentiment").labels)), (F.col("id") % 3 + 1).cast("int"))
+    rows = I.documents(spark, folder).orderBy("id").select(F.concat("text", F.lit("\t\nx")).alias("text"), label.alias("sentiment"))
+    rows.write.option("sep", "\t").option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.read_sentiment(spark, path)
+
+
+@query("vocab_file", f"""with {I.WORDS_SQL}, d as (select distinct unnest(w) token from words)
+select token, row_number() over (order by token) - 1 token_id from d""")
+def vocab_file(spark, folder):
+    """One word a line; the id is the line's number over all files."""
+    path = scratch_path(spark, "vocab")
+    I.word_table(spark, folder).select(F.explode("words").alias("value")).distinct().orderBy("value").write.text(path)
+    return readers.read_vocab(spark, path).select("token", "token_id")
+
+
+@query("vocab_sink", f"""with {I.WORDS_SQL}, d as (select distinct unnest(w) token from words)
+select token, row_number() over (order by token) - 1 token_id from d""")
+def vocab_sink(spark, folder):
+    path = scratch_path(spark, "vocab-sink")
+    sinks.write_vocab(vocab.build_vocab(I.word_table(spark, folder).select(F.explode("words").alias("token"))), path)
+    return spark.read.schema("token string, token_id bigint").json(path)
+
+
+@query("vector_file", """select vec_id::varchar token, vec_id % 10 <> 0 known, case when vec_id % 10 <> 0 then 64 else 63 end::bigint width,
+case when vec_id % 10 <> 0 then list_max(embedding)::double end high, case when vec_id % 10 <> 0 then embedding[1]::double end first from embeddings""")
+def vector_file(spark, folder):
+    """Every tenth line lacks a number and is reported."""
+    path = scratch_path(spark, "vectors")
+    rows = I.table(spark, folder, "embeddings")
+    kept = F.slice("embedding", F.lit(1), F.when(F.col("vec_id") % 10 == 0, 63).otherwise(64))
+    lines = rows.select("vec_id", F.concat_ws(" ", F.col("vec_id").cast("string"), I.joined(kept)).alias("value"))
+    header = rows.agg(F.lit(-1).cast("bigint").alias("vec_id"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" 64")).alias("value"))
+    lines.unionByName(header).orderBy("vec_id").select("value").write.text(path)
+    good, bad = readers.read_vectors(spark, path, 64)
+    number = lambda c: c.cast("double")
+    found = good.select(
+        "token", F.lit(True).alias("known"), F.size("vector").cast("bigint").alias("width"),
+        number(F.array_max("vector")).alias("high"), number(F.get("vector", F.lit(0))).alias("first"),
+    )
+    none = F.lit(None).cast("double")
+    return found.unionByName(bad.select("token", F.lit(False).alias("known"), (F.col("width") - 1).cast("bigint").alias("width"), none.alias("high"), none.alias("first")))
+
+
+@query("split_set", f"""with {I.PAIRS_SQL} select cast(id as varchar) id, label, 'indosum' task,
+['train', 'valid', 'test'][id % 3 + 1] split from pairs""")
+def split_set(spark, folder):
+    """Three files of one task, stored by task and split."""
+    pairs = I.pairs(spark, folder).select("id", F.col("hyp").alias("text"), "label")
+    paths = {}
+    for k, split in enumerate(("train", "valid", "test")):
+        paths[split] = scratch_path(spark, split)
+        sinks.write_json_array(pairs.where(F.col("id") % 3 == k).withColumn("id", F.col("id").cast("string")), paths[split])
+    out = scratch_path(spark, "splits")
+    sinks.write_splits(readers.read_splits(spark, tasks.task("indosum"), paths), out)
+    return spark.read.parquet(out).select("id", "label", F.col("task").cast("string").alias("task"), F.col("split").cast("string").alias("split"))
+
+
+@query("refused_overwrite", f"with {I.PAIRS_SQL} select true refused, count(*) first, count(*) filter (id % 2 = 0) \"second\" from pairs")
+def refused_overwrite(spark, folder):
+    """A result that exists stays unless overwriting is asked for."""
+    path, pairs = scratch_path(spark, "refused"), I.pairs(spark, folder)
+    half = pairs.where("id % 2 = 0")
+    sinks.write_predictions(pairs, path, "parquet")
+    try:
+        sinks.write_predictions(half, path, "parquet")
+        refused = False
+    except AnalysisException:
+        refused = True
+    first = spark.read.parquet(path).count()
+    sinks.write_predictions(half, path, "parquet", overwrite=True)
+    return spark.read.parquet(path).agg(F.lit(refused).alias("refused"), F.lit(first).cast("bigint").alias("first"), F.count(F.lit(1)).alias("second"))
+
+
+@query("submission_file", f"with {I.PAIRS_SQL} select row_number() over (order by id) - 1 \"index\", hyp from pairs")
+def submission_file(spark, folder):
+    path = scratch_path(spark, "submission")
+    sinks.write_submission(I.pairs(spark, folder), path, ["id"], ["hyp"])
+    rows = readers._delimited(spark, path, ["index", "hyp"])
+    return rows.select(F.col("index").cast("bigint").alias("index"), "hyp")

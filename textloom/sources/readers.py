@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import labels as L
 from ..operators.literals import parse_any_list_literal
 from ..plans.tasks import Task, register_reader
 from .files import PATH, mark_position, number_rows
+from .records import JsonObjects, QuotedLines, read_records
 
 PARALLEL = "id string, text string, label string"
 QUESTIONS = "id string, context string, question string, label string"
@@ -18,23 +20,32 @@ DIALOGUES = "dialogue array<array<string>>"
 
 
 def _json(spark: SparkSession, path: str, schema: str, array: bool) -> DataFrame:
-    """``array=True``: a file is one JSON array, read by one task. ``False``: one object per line."""
-    return spark.read.schema(schema).option("multiLine", array).option("mode", "FAILFAST").json(path)
+    """``id_in_files`` and the columns of ``schema``.
+
+    ``array=True``: every file is one JSON array (or objects after each other), read in splits all the same.
+    ``False``: one object per line.
+    """
+    if not array:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows, _ = read_records(spark, path, JsonObjects())
+    return rows.select(F.col("id").alias("id_in_files"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("id_in_files", "r.*")
 
 
 def read_parallel(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
     """``(id, text, label)``: translation and summarisation."""
-    return _json(spark, path, PARALLEL, array)
+    return _json(spark, path, PARALLEL, array).select("id", "text", "label")
 
 
 def read_questions(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
     """``(id, context, question, label)``."""
-    return _json(spark, path, QUESTIONS, array)
+    return _json(spark, path, QUESTIONS, array).select("id", "context", "question", "label")
 
 
 def read_dialogues(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
     """``(conv_id, dialogue)``; the persona is never read. ``conv_id`` is the place over all files."""
-    marked = mark_position(_json(spark, path, DIALOGUES, array))
+    if array:
+        return _json(spark, path, DIALOGUES, True).select(F.col("id_in_files").alias("conv_id"), "dialogue")
+    marked = mark_position(_json(spark, path, DIALOGUES, False))
     return number_rows(marked, "conv_id").select("conv_id", "dialogue")
 
 
@@ -92,12 +103,17 @@ def _delimited(
 ) -> DataFrame:
     """Columns by name (header) or by place, all as text, with ``id`` in file order.
 
-    ``multi_line`` allows line breaks inside quotes but reads a file in one task.
+    With ``multi_line``, quoted cells may hold line breaks; the files are read in splits either way. Files must agree on
+    their header. Spark's own reader, used without it, takes a line break for the end of a row.
     """
-    reader = (
-        spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("mode", "FAILFAST")
-    )
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    if multi_line:
+        rows, first = read_records(spark, path, QuotedLines(separator, header))
+        names = next(csv.reader([first], delimiter=separator)) if header and first else columns
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        parsed = rows.select("id", F.from_csv("value", schema, options | {"multiLine": "true", "lineSep": "\n"}).alias("r"))
+        return parsed.select("id", *(F.col("r").getField(c).alias(c) for c in columns))
+    reader = spark.read.options(**options).option("header", header)
     if not header:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     marked = mark_position(reader.csv(path)).select(*columns, PATH, "_start")

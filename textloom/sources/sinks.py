@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import functions as F
 
 from ..operators.ordering import running_sum
 
@@ -27,6 +31,26 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv", overwrite: boo
         df.write.mode(_mode(overwrite)).format(fmt).save(path)
 
 
+def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One JSON array of objects per partition, as other tools expect it; the rows stay in their partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            if not lines:
+                continue
+            out = ["["] if held is None else [held + ","]
+            out += [line + "," for line in lines[:-1]]
+            held = lines[-1]
+            yield pa.RecordBatch.from_pydict({"value": out})
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"value": [held, "]"]})
+
+    objects = df.select(F.to_json(F.struct("*")).alias("value"))
+    objects.mapInArrow(run, "value string").write.mode(_mode(overwrite)).text(path)
+
+
 def write_metric_summary(
     df: DataFrame, path: str, length_penalty: float | None = None, overwrite: bool = False
 ) -> None:
