@@ -240,6 +240,32 @@ def test_bootstrap(spark):
     assert got.low == pytest.approx(again.low)
 
 
+def test_bootstrap_is_its_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+
+    values = {str(i): random.Random(i).random() for i in range(700)}
+    df = spark.createDataFrame([(k, v, None if k == "5" else 1 - v) for k, v in values.items()], "id string, x double, y double").repartition(4)
+    steps = rouge.poisson_steps()
+    means = {"x": [], "y": []}
+    for rep in range(1, 41):
+        m, a, m2 = rouge.replicate_numbers(rep, 3)
+        total, sums = 0, {"x": 0.0, "y": 0.0}
+        for k, v in values.items():
+            u = ((int(hashlib.md5(k.encode()).hexdigest()[:8], 16) >> 1) % rouge.PRIME * m + a) % rouge.PRIME
+            u = ((u ^ (u >> 15)) * m2) % rouge.PRIME
+            w = sum(u >= s for s in steps)
+            total += w
+            sums["x"] += w * v
+            sums["y"] += w * (1 - v) if k != "5" else 0
+        for c in means:
+            means[c].append(100 * sums[c] / total)
+    for r in rouge.bootstrap(df, ["x", "y"], replicates=40, seed=3).collect():
+        assert (r.low, r.mid, r.high) == pytest.approx(tuple(np.quantile(means[r.metric], [0.025, 0.5, 0.975])))
+    assert rouge.bootstrap(df.limit(0), ["x"], replicates=4).where("mid is not null").count() == 0
+
+
 @pytest.mark.parametrize("gold, pred, em, f1", [
     ("The cat.", "cat", 1, 1), ("the", "", 1, 1), ("the", "dog", 0, 0), ("a b c d", "b c", 0, 0.8), ("x x y", "x x x", 0, 2 / 3),
 ])

@@ -252,7 +252,24 @@ def rouge_lsum(spark, folder):
     return _rounded(R.rouge(I.pairs(spark, folder), kinds=("ROUGELsum",)))
 
 
-@query("rouge_bootstrap")
+_P = R.PRIME
+
+
+def _hex(text: str, at: int) -> str:
+    return f"(('0x' || substr(md5({text}), {at}, 8))::bigint >> 1)"
+
+
+@query("rouge_bootstrap", f"""with {I.PAIRS_SQL}, {sql_overlap(ROUGE_TOKENS_SQL, (1, 2))}, f as (select id, n, {F_SQL} f from overlap),
+drawn_rows as (select {_hex('id::varchar', 1)} % {_P} r, max(case when n = 1 then f end) x1, max(case when n = 2 then f end) x2 from f group by id),
+numbers as (select rep, {_hex("'0:' || rep", 1)} % {_P - 1} + 1 m, {_hex("'0:' || rep", 9)} % {_P} a, {_hex("'0:' || rep", 17)} % {_P - 1} + 1 m2
+  from range(1, 1001) t(rep)),
+mixed as (select rep, m2, x1, x2, (r * m + a) % {_P} u from drawn_rows, numbers),
+drawn as (select rep, x1, x2, (xor(u, u >> 15) * m2) % {_P} x from mixed),
+weighed as (select rep, x1, x2, {' + '.join(f'(x >= {step})::int' for step in R.poisson_steps())} w from drawn),
+means as (select rep, sum(x1 * w) / sum(w) * 100 "ROUGE1", sum(x2 * w) / sum(w) * 100 "ROUGE2" from weighed group by rep),
+long as (unpivot means on "ROUGE1", "ROUGE2" into name metric value mean)
+select metric, round(quantile_cont(mean, 0.025), 6) low, round(quantile_cont(mean, 0.5), 6) mid, round(quantile_cont(mean, 0.975), 6) high
+from long group by metric""")
 def rouge_bootstrap(spark, folder):
     rows = R.rouge_rows(I.pairs(spark, folder), kinds=("ROUGE1", "ROUGE2"))
     return _rounded(R.bootstrap(rows, ("ROUGE1", "ROUGE2")), "metric")

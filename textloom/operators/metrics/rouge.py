@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,13 +173,36 @@ def rouge(df: DataFrame, *, kinds: Sequence[str] = ("ROUGE1", "ROUGE2", "ROUGEL"
     return rows.agg(*[(F.avg(k) * 100).alias(k) for k in kinds])
 
 
-def poisson_weight(uniform: Column, terms: int = 16) -> Column:
-    """Poisson(1) count from a uniform number by inverting the distribution function."""
-    total, out = 0.0, F.lit(0)
+PRIME = (1 << 31) - 1
+
+
+def poisson_steps(terms: int = 16) -> list[int]:
+    """Where the Poisson(1) count of a number below ``PRIME`` goes up by one, by its distribution function."""
+    total, steps = 0.0, []
     for k in range(terms):
         total += math.exp(-1.0) / math.factorial(k)
-        out = out + (uniform >= total).cast("int")
-    return out
+        steps.append(int(total * PRIME))
+    return steps
+
+
+def replicate_numbers(replicate: int, seed: int) -> tuple[int, int, int]:
+    """Factor, summand and second factor of a replicate, from an MD5 digest."""
+    digest = hashlib.md5(f"{seed}:{replicate}".encode()).hexdigest()
+    first, second, third = (int(digest[at : at + 8], 16) >> 1 for at in (0, 8, 16))
+    return first % (PRIME - 1) + 1, second % PRIME, third % (PRIME - 1) + 1
+
+
+def row_key(id_col: str) -> Column:
+    """31 bits of the id's MD5 digest."""
+    digest = F.substring(F.md5(F.col(id_col).cast("string")), 1, 8)
+    return F.shiftright(F.conv(digest, 16, 10).cast("bigint"), 1) % PRIME
+
+
+def weights(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts, rows by replicates: a universal hash of the row's key under the replicate's numbers, mixed once more."""
+    x = (keys[:, None] * replicates[0] + replicates[1]) % PRIME
+    x = ((x ^ (x >> 15)) * replicates[2]) % PRIME
+    return np.searchsorted(np.array(poisson_steps()), x, side="right")
 
 
 def bootstrap(
@@ -184,17 +210,27 @@ def bootstrap(
 ) -> DataFrame:
     """Low, mid and high (2.5, 50, 97.5 %) of the resampled means: ``(metric, low, mid, high)``.
 
-    A row enters a replicate with a Poisson(1) weight that depends on its id, the replicate and
-    the seed only. The replicates are summed map-side; what is shuffled is one partial sum per
-    task and replicate.
+    A row enters a replicate with a Poisson(1) weight that depends on its id, the replicate and the seed only. No row is
+    copied: a batch of rows makes a matrix of weights, whose product with the values is added up per task. What is
+    shuffled is one sum per task and replicate.
     """
-    uniform = F.shiftrightunsigned(F.xxhash64(id_col, "rep", F.lit(seed)), 11) / F.lit(2.0**53)
-    drawn = rows.select(
-        id_col, *kinds, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
-    ).withColumn("w", poisson_weight(uniform))
-    means = drawn.groupBy("rep").agg(
-        *[(F.try_divide(F.sum(F.col(k) * F.col("w")), F.sum("w")) * 100).alias(k) for k in kinds]
-    )
+    numbers = np.array([replicate_numbers(r, seed) for r in range(1, replicates + 1)], np.int64).T.reshape(3, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, total = np.zeros((len(kinds), replicates)), np.zeros(replicates, np.int64)
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.array([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(kinds))], float).reshape(len(kinds), -1)
+            for at in range(0, len(keys), 500):
+                w = weights(keys[at : at + 500], numbers)
+                sums += np.nan_to_num(values[:, at : at + 500]) @ w
+                total += w.sum(axis=0)
+        columns = [pa.array(np.arange(1, replicates + 1, dtype=np.int64)), pa.array(total), *map(pa.array, sums)]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "w", *kinds])
+
+    keyed = rows.select(row_key(id_col).alias("key"), *[F.col(k).cast("double").alias(k) for k in kinds])
+    parts = keyed.mapInArrow(run, "rep bigint, w bigint, " + ", ".join(f"`{k}` double" for k in kinds))
+    means = parts.groupBy("rep").agg(*[(F.try_divide(F.sum(k), F.sum("w")) * 100).alias(k) for k in kinds])
     long = means.unpivot([], list(kinds), "metric", "mean")
     # percentile() holds at most one value per replicate here.
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
