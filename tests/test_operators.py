@@ -14,13 +14,13 @@ def rows(df):
 def test_running_sum_over_blocks(spark):
     data = [(f"k{(i * 7919) % 1000:04d}", i % 5) for i in range(1000)]
     df = spark.createDataFrame(data, "k string, w int").repartition(5)
-    got = {r.k: r.ix for r in ordering.running_sum(df, ["k"], rows_per_block=50).collect()}
+    got = {r.k: r.ix for r in ordering.running_sum(df, ["k"], ranges=7).collect()}
     assert got == {k: i for i, k in enumerate(sorted(k for k, _ in data))}
     total, want = 0, {}
     for k, w in sorted(data):
         want[k] = total
         total += w
-    got = {r.k: r.ix for r in ordering.running_sum(df, ["k"], "w", rows_per_block=50).collect()}
+    got = {r.k: r.ix for r in ordering.running_sum(df, ["k"], "w", ranges=7).collect()}
     assert got == want
 
 
@@ -50,10 +50,42 @@ def test_quantiles_with_one_hot_value(spark):
 
     values = [1.5] * 400 + [float(i) / 7 for i in range(777)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = {r.p: r.quantile for r in ordering.quantiles(df, "v", [0, 0.25, 0.5, 0.75, 1], rows_per_block=60).collect()}
+    got = {r.p: r.quantile for r in ordering.quantiles(df, "v", [0, 0.25, 0.5, 0.75, 1], ranges=7).collect()}
     assert got == {p: pytest.approx(float(np.quantile(values, p))) for p in (0, 0.25, 0.5, 0.75, 1)}
 
 
+def test_running_sum_with_repeated_keys(spark):
+    df = spark.createDataFrame([(7, i) for i in range(500)] + [(3, i) for i in range(5)], "k int, v int").repartition(6)
+    got = ordering.running_sum(df, ["k"], ranges=8)
+    assert sorted(r.ix for r in got.collect()) == list(range(505)) and {r.ix for r in got.where("k = 3").collect()} == set(range(5))
+    assert ordering.running_sum(df.limit(0), ["k"]).count() == 0
+    weighted = ordering.running_sum(df.withColumn("w", F.when(F.col("v") % 2 == 0, 3)), ["k", "v"], "w", ranges=8)
+    assert weighted.where("k = 7 and v = 499").head().ix == 3 * 3 + 250 * 3
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    docs = spark.createDataFrame([(1, "b a"), (1, "a"), (1, "a"), (None, "b")], "id bigint, text string").repartition(3)
+    tokens = F.split("text", " ")
+    table = vocab.build_vocab(docs.select(F.explode(tokens).alias("token")))
+    for limit in (vocab.BROADCAST_BYTES, 0):
+        got = vocab.encode(docs, "id", {"ids": tokens}, table, broadcast_bytes=limit).collect()
+        assert sorted((r.id or 0, r.ids) for r in got) == [(0, [1]), (1, [0]), (1, [0]), (1, [1, 0])]
+    placed = batching.assign_batches(docs, batch_size=3, lengths={"w": F.size(tokens)}).collect()
+    assert sorted((r.position, r.batch_id, r.place) for r in placed) == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 0)]
+    assert sorted((r.id or 0, r.text) for r in placed) == [(0, "b"), (1, "a"), (1, "a"), (1, "b a")]
+    pairs = predictions.pair_with_references(spark.createDataFrame([(1, "h")], "id bigint, hyp string"), docs.withColumnRenamed("text", "label"))
+    assert sorted((r.label, r.hyp) for r in pairs.collect()) == [("a", "h"), ("a", "h"), ("b", None), ("b a", "h")]
+    with pytest.raises(Exception, match="more than one hypothesis for id 1"):
+        predictions.pair_with_references(docs.withColumnRenamed("text", "hyp"), docs.withColumnRenamed("text", "label")).collect()
+
+
+def test_length_classes_come_together(spark):
+    df = spark.range(200).withColumn("n", (F.col("id") * 37 % 100).cast("int")).repartition(5)
+    placed = batching.assign_batches(df, batch_size=10, lengths={"w": F.col("n")}, bucket=batching.length_class(F.col("n"), 25), seed=3)
+    for r in placed.groupBy("batch_id").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.count("*").alias("c"), F.countDistinct("place").alias("p")).collect():
+        assert r.a // 25 == r.b // 25 and r.c == r.p == 10
+
+
 # --- vocabulary ----------------------------------------------------------------------------
 def test_vocab_both_join_paths(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c a")], "id bigint, text string")
@@ -61,14 +93,14 @@ def test_vocab_both_join_paths(spark):
     tokens = F.filter(words, lambda w: w != "")
     table = vocab.build_vocab(docs.select(F.explode(tokens).alias("token")))
     assert rows(table.select("token", "token_id")) == [("a", 0), ("b", 1), ("c", 2)]
-    for small in (True, False, None):
-        ids = vocab.encode(docs, "id", {"ids": tokens, "twice": F.concat(tokens, tokens)}, table, small=small)
+    for limit in (vocab.BROADCAST_BYTES, 0):
+        ids = vocab.encode(docs, "id", {"ids": tokens, "twice": F.concat(tokens, tokens)}, table, broadcast_bytes=limit)
         assert rows(ids.select("id", "ids")) == [(1, [1, 0, 1]), (2, []), (3, [2, 0])]
         assert rows(ids.select("id", "twice"))[2] == (3, [2, 0, 2, 0])
-        assert rows(vocab.decode(ids, "id", F.col("ids"), table, small=small)) == [(1, "b a b"), (2, ""), (3, "c a")]
+        assert rows(vocab.decode(ids, "id", F.col("ids"), table, broadcast_bytes=limit)) == [(1, "b a b"), (2, ""), (3, "c a")]
     many = spark.range(3000).select("id", F.concat(F.lit("b a b "), F.col("id") % 7).alias("text"))
     every = vocab.build_vocab(many.select(F.explode(words).alias("token")))
-    one, two = [rows(vocab.encode(many, "id", {"ids": words}, every, small=s)) for s in (True, False)]
+    one, two = [rows(vocab.encode(many, "id", {"ids": words}, every, broadcast_bytes=b)) for b in (vocab.BROADCAST_BYTES, 0)]
     assert one == two and len(one) == 3000
     part = table.where("token <> 'c'")
     assert rows(vocab.encode(docs, "id", {"ids": tokens}, part, on_unknown="null"))[2] == (3, [None, 0])
@@ -198,11 +230,11 @@ def test_labelling_layout(spark, kind, label, want):
 
 def test_batches(spark):
     df = spark.range(100).withColumn("n", F.col("id") % 13).repartition(9)
-    out = batching.assign_batches(df, batch_size=8, lengths={"w": F.col("n")}, rows_per_block=10)
+    out = batching.assign_batches(df, batch_size=8, lengths={"w": F.col("n")}, ranges=9)
     for r in out.collect():
         assert r.position == r.id and r.batch_id == r.id // 8
         assert r.w == max(i % 13 for i in range(r.batch_id * 8, min(100, r.batch_id * 8 + 8)))
-    shuffled = lambda d, s: [r.id for r in batching.assign_batches(d, seed=s, rows_per_block=10).orderBy("position").collect()]
+    shuffled = lambda d, s: [r.id for r in batching.assign_batches(d, seed=s, ranges=9).orderBy("position").collect()]
     assert shuffled(df, 1) == shuffled(df.repartition(2), 1) != shuffled(df, 2)
     assert sorted(shuffled(df, 1)) == list(range(100))
 

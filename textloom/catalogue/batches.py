@@ -34,12 +34,32 @@ def batch_order(spark, folder):
     return batching.assign_batches(I.documents(spark, folder).select("id")).select("id", "position", "batch_id")
 
 
-@query("shuffled_batches")
+SHUFFLED_SQL = "row_number() over (order by ('0x' || substr(md5('11:' || doc_id), 1, 15))::bigint, doc_id) - 1"
+
+
+@query("shuffled_batches", f"select doc_id id, {SHUFFLED_SQL} position, ({SHUFFLED_SQL}) // 8 batch_id from documents")
 def shuffled_batches(spark, folder):
     """Every example once, in an order fixed by the seed."""
     return batching.assign_batches(I.documents(spark, folder).select("id"), seed=11).select("id", "position", "batch_id")
 
 
+@query("bucketed_batches", f"""with {I.WORDS_SQL}, p as (select id, len(w) n, row_number() over (order by len(w) // 64, id) - 1 position from words)
+select id, position, position // 8 batch_id, position % 8 place, max(n) over (partition by position // 8) width from p""")
+def bucketed_batches(spark, folder):
+    """Examples of like length share a batch."""
+    n = F.size("words")
+    placed = batching.assign_batches(I.word_table(spark, folder), lengths={"w": n}, bucket=batching.length_class(n, 64))
+    return placed.select("id", "position", "batch_id", "place", F.col("w").alias("width"))
+
+
+@query("batches_repeated_ids", f"""with {I.REPEATED_SQL}, p as (select *, row_number() over (order by id, "text") - 1 position from repeated)
+select id, "text", position, position // 8 batch_id, position % 8 place, max(length("text")) over (partition by position // 8) width from p""")
+def batches_repeated_ids(spark, folder):
+    """Rows that share an id stay rows of their own."""
+    placed = batching.assign_batches(I.repeated(spark, folder), order=["id", "text"], lengths={"w": F.length("text")})
+    return placed.select("id", "text", "position", "batch_id", "place", F.col("w").alias("width"))
+
+
 @query("batch_widths", f"""with {I.WORDS_SQL}, b as (select id, len(w) n, (row_number() over (order by id) - 1) // 8 batch_id from words)
 select id, batch_id, least({CAP}, max(n) over (partition by batch_id) + 2) width from b""")
 def batch_widths(spark, folder):

@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.dialogue import pair_turns
-from ..session import spread
 
 LANGUAGES = ["de", "en", "es", "fr"]
 TAGS = ["B-X", "I-X", "B-Y", "I-Y", "O"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores.
+
+    A small file may be one split, which would leave all row-wise work to one core. A table
+    with enough splits is left as it is, so large inputs get no extra shuffle. Use it on a
+    table as read, before any shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
@@ -25,6 +35,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
 
 
+def repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """``(id, text)``: two documents share an id, and one in three has a text that others have too."""
+    text = F.when(F.col("id") % 6 < 2, "same").otherwise(F.col("text"))
+    return documents(spark, folder).select((F.floor(F.col("id") / 2) * 2).alias("id"), text.alias("text"))
+
+
 def joined(array: Column, separator: str = " ") -> Column:
     """Array -> text, so that a value does not depend on an engine's list type."""
     return F.array_join(F.transform(array, lambda x: x.cast("string")), separator)
@@ -171,6 +187,8 @@ def sql_lengths(text: str) -> str:
 
 WORDS_SQL = f"words as (select doc_id id, {sql_words('text')} w from documents)"
 
+REPEATED_SQL = """repeated as (select doc_id // 2 * 2 id, case when doc_id % 6 < 2 then 'same' else "text" end "text" from documents)"""
+
 PAIRS_SQL = f"""{WORDS_SQL},
 damaged as (select id, list_filter(list_transform(w, lambda x, i: case when (i - 1 + id) % 7 = 0 then null
     when (i - 1 + id) % 5 = 1 then 'zz' else x end), lambda x: x is not null) h from words),

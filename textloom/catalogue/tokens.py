@@ -80,6 +80,25 @@ def encode_text(spark, folder):
     return rows.select("id", I.joined(F.col("ids")).alias("plain"), I.joined(wrapped).alias("wrapped"))
 
 
+@query("encode_by_shuffle", f"with {ENCODED_SQL} select id, array_to_string(ids, ' ') ids from coded")
+def encode_by_shuffle(spark, folder):
+    """The way of a vocabulary too large to broadcast: frequent words found by a mergeable summary, the others by shuffle."""
+    words = T.lower_words(F.col("text"))
+    found = vocab.encode(I.documents(spark, folder), "id", {"ids": words}, document_vocab(spark, folder), broadcast_bytes=0)
+    return found.select("id", I.joined(F.col("ids")).alias("ids"))
+
+
+@query("encode_repeated_ids", f"""with {I.REPEATED_SQL}, w as (select row_number() over () r, id, {I.sql_words('"text"')} w from repeated),
+known as (select token, row_number() over (order by token) - 1 token_id from (select distinct unnest(w) token from w)),
+e as (select r, list(token_id order by pos) ids from (select r, unnest(w) token, generate_subscripts(w, 1) pos from w) join known using (token) group by r)
+select id, array_to_string(coalesce(ids, []), ' ') ids from w left join e using (r)""")
+def encode_repeated_ids(spark, folder):
+    """Rows that share an id stay rows of their own."""
+    rows = I.repeated(spark, folder).select("id", T.words(F.col("text")).alias("w"))
+    known = vocab.build_vocab(rows.select(F.explode("w").alias("token")))
+    return vocab.encode(rows, "id", {"ids": F.col("w")}, known).select("id", I.joined(F.col("ids")).alias("ids"))
+
+
 @query("encode_pair_segments", f"""with {I.QA_SQL}, l as (select id, {I.sql_lengths('question')} a,
 {I.sql_lengths('context')} b from qa)
 select id, array_to_string(list_concat(list_concat(list_concat([5], a), [6]), list_concat(b, [6])), ' ') ids,

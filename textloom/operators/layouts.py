@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mask, pad, repeat, take
-from .batching import assign_batches
+from .batching import assign_batches, length_class
 
 
 @dataclass(frozen=True)
@@ -115,28 +115,31 @@ def layout_for(model_type: str) -> Layout:
 
 def generation_batches(
     df: DataFrame, model_type: str, ids: LayoutIds, *, id_col: str = "id", source: str = "x",
-    target: str = "y", batch_size: int = 8, seed: int | None = None,
+    target: str = "y", batch_size: int = 8, seed: int | None = None, bucket: int | None = None,
 ) -> DataFrame:
-    """Batches for a model family: ``(id, batch_id, enc, dec, enc_mask, dec_mask, label)``."""
+    """Batches for a model family: ``(id, batch_id, place, enc, dec, enc_mask, dec_mask, label)``.
+
+    ``place`` counts from 0 in the batch. ``bucket`` puts examples whose source length falls in the same class of that many ids together.
+    """
     layout = layout_for(model_type)
     placed = assign_batches(
-        df, id_col, batch_size=batch_size, seed=seed,
+        df, id_col, batch_size=batch_size, seed=seed, bucket=length_class(F.size(source), bucket) if bucket else None,
         lengths={"_wx": F.size(source), "_wy": F.size(target)},
     )
     columns = layout(F.col(source), F.col(target), F.col("_wx"), F.col("_wy"), ids)
-    return placed.select(id_col, "batch_id", *[c.alias(n) for n, c in columns.items()])
+    return placed.select(id_col, "batch_id", "place", *[c.alias(n) for n, c in columns.items()])
 
 
 def labelling_batches(
     df: DataFrame, *, id_col: str = "id", ids: str = "ids", label: Column | str = "label",
     label_kind: str = "single", segments: str | None = None, word_index: str | None = None,
-    raw: Column | str | None = None, max_len: int = 512, batch_size: int = 8, seed: int | None = None,
+    raw: Column | str | None = None, max_len: int = 512, batch_size: int = 8, seed: int | None = None, bucket: int | None = None,
 ) -> DataFrame:
     """Batches for classification and tagging.
 
     Ids and segments are padded with 0, word indices with -1. ``label_kind``:
     ``single`` one label, ``vector`` a fixed-width vector, ``tags`` one label per word padded
-    with -100 to the longest sentence of the batch (tags are never cut).
+    with -100 to the longest sentence of the batch (tags are never cut). ``place`` and ``bucket`` as in ``generation_batches``.
     """
     if label_kind not in ("single", "vector", "tags"):
         raise ValueError(f"unknown label kind {label_kind!r}")
@@ -145,7 +148,8 @@ def labelling_batches(
     lengths = {"_w": F.size(ids)}
     if label_kind == "tags":
         lengths["_wt"] = F.size("_label")
-    placed = assign_batches(rows, id_col, batch_size=batch_size, seed=seed, lengths=lengths)
+    classes = length_class(F.size(ids), bucket) if bucket else None
+    placed = assign_batches(rows, id_col, batch_size=batch_size, seed=seed, lengths=lengths, bucket=classes)
     width = F.least(F.lit(max_len), F.col("_w"))
     out = [
         pad(F.col(ids), width, 0).alias("ids"),
@@ -161,4 +165,4 @@ def labelling_batches(
         out.append(F.col("_label").alias("label"))
     if raw is not None:
         out.append((F.col(raw) if isinstance(raw, str) else raw).alias("raw"))
-    return placed.select(id_col, "batch_id", *out)
+    return placed.select(id_col, "batch_id", "place", *out)

@@ -1,87 +1,69 @@
 """Ordered positions and running values without one task holding a whole group.
 
-A plain window over a large group sends that group to one task. Here the group is cut into
-blocks along its order; every block is a window of its own and the totals of earlier blocks,
-one row per block, are added back.
+A plain window over a table or a large group sends it to one task. Here rows are sorted by ranges of their order, which Spark
+cuts by a sample of the keys; a position is the sum over earlier ranges plus the place in the row's own. Inside groups, the
+group is cut into blocks along its order and the totals of earlier blocks are added back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import materialise
+from ..session import materialise, shuffle_partitions, written
 
-ROWS_PER_BLOCK = 250_000
-MAX_BLOCKS = 4096
-SAMPLE_PER_BLOCK = 64
+PLACE_BITS = 33  # of a monotonically increasing id, below the partition's number
+RANGES_PER_NODE = 1024
 
 
-def _range_block(df: DataFrame, key: Column, rows_per_block: int) -> Column | None:
-    """Block number of ``key``, non-decreasing in key order, from bounds sampled once.
+def _summed(rows: DataFrame, weight: str) -> DataFrame:
+    """``rows`` with ``_inside``: the sum of ``weight`` over the rows before in the same partition."""
+    at = rows.columns.index(weight)
 
-    None when the counted rows fit one block. The bounds become literals, so every later pass, retry or re-plan cuts the same way.
-    """
-    keys = df.select(key.alias("key"))
-    total = keys.count()
-    blocks = min(MAX_BLOCKS, -(-total // rows_per_block)) if total else 1
-    if blocks <= 1:
-        return None
-    fraction = min(1.0, SAMPLE_PER_BLOCK * blocks / total)
-    sample = [r.key for r in keys.sample(fraction=fraction, seed=17).orderBy("key").collect()]
-    bounds = [sample[len(sample) * i // blocks] for i in range(1, blocks)] if sample else []
-    group = max(1, int(len(bounds) ** 0.5))
-    kind = keys.schema["key"].dataType
-
-    def lits(values) -> Column:
-        rows = [F.struct(*[F.lit(v).alias(f) for f, v in zip(kind.names, row)]) for row in values]
-        return F.array(*rows).cast(f"array<{kind.simpleString()}>")
-
-    fine = [bounds[i : i + group] for i in range(0, len(bounds), group)]
-    coarse = lits([g[0] for g in fine])
-    chosen = F.size(F.filter(coarse, lambda b: b <= key))
-    inner = F.get(F.array(*[lits(g) for g in fine]), chosen - 1)
-    return F.when(chosen == 0, 0).otherwise(
-        (chosen - 1) * group + F.size(F.filter(inner, lambda b: b <= key))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            values = b.column(at).fill_null(0).to_numpy()
+            upto = total + np.cumsum(values)
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto - values)], names=[*b.schema.names, "_inside"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_inside", LongType())]))
 
 
 def running_sum(
-    df: DataFrame,
-    order: Sequence[str],
-    weight: str | None = None,
-    out: str = "ix",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    df: DataFrame, order: Sequence[str], weight: str | None = None, out: str = "ix", ranges: int | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` over all rows before this one in ``order`` (the row index if no weight).
 
-    The ``order`` columns together must be unique. One shuffle by key range; no sort of the
-    whole table in one task and no Python rows.
+    Rows are sorted by range and written once, so later steps see the same ranges; rows that are equal in ``order`` follow the
+    order of the input, and many of them spread over ranges too. The offsets are a tree of two levels over the ranges, one row
+    each. The plan is the same for any number of rows; ``ranges`` are the shuffle partitions by default.
     """
-    key = F.struct(*[F.col(c) for c in order])
-    amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    block = _range_block(df, key, rows_per_block)
-    up_to_here = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    if block is None:
-        return df.withColumn(out, F.coalesce(F.sum(amount).over(up_to_here(Window)), F.lit(0)))
-    per_block = df.select(block.alias("_block"), amount.alias("_w")).groupBy("_block").agg(
-        F.sum("_w").alias("_w")
-    )
-    # At most MAX_BLOCKS rows, so one window and a broadcast are safe here.
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        F.col("_block"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = up_to_here(Window.partitionBy("_block"))
-    return (
-        df.withColumn("_block", block)
-        .withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_block")
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset")
-    )
+    keys = [*order, "_tie"]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    if weight:
+        rows = rows.withColumn("_weight", F.col(weight).cast("bigint"))
+    rows = rows.repartitionByRange(ranges or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("_tie")
+    rows = (_summed(rows, "_weight") if weight else rows).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(rows, "placed").withColumn("_range", F.shiftright("_place", PLACE_BITS))
+    if weight:
+        size = F.sum("_weight")
+    else:
+        placed = placed.withColumn("_inside", F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+        size = F.count(F.lit(1))
+    leaves = placed.groupBy("_range").agg(size.alias("_size")).withColumn("_node", F.expr(f"_range div {RANGES_PER_NODE}"))
+    before = lambda w: F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nodes = leaves.groupBy("_node").agg(F.sum("_size").alias("_size")).select("_node", before(Window.orderBy("_node")).alias("_first"))
+    inner = leaves.select("_range", "_node", before(Window.partitionBy("_node").orderBy("_range")).alias("_before"))
+    offsets = inner.join(F.broadcast(nodes), "_node").select("_range", (F.col("_first") + F.col("_before")).alias("_offset"))
+    # One row for each shuffle partition.
+    return placed.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(out))
 
 
 def _with_blocks(df: DataFrame, by: Sequence[str], block: Column, totals: Sequence[Column],
@@ -133,14 +115,12 @@ def group_running_max(
 
 
 def seeded_order(df: DataFrame, id_col: str, seed: int, out: str = "shuffle_key") -> DataFrame:
-    """Sort key of a reproducible shuffle: depends on the id and the seed, not on partitions."""
-    return df.withColumn(out, F.xxhash64(F.col(id_col), F.lit(seed)))
+    """Sort key of a reproducible shuffle: 60 bits of an MD5 digest of the seed and the id, whatever the partitions or the engine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return df.withColumn(out, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
 
 
-def quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float],
-    rows_per_block: int = ROWS_PER_BLOCK,
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], ranges: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per probability ``(p, quantile)``.
 
     Equal values are counted first, so a value shared by most rows is one weighted row, and the
@@ -149,7 +129,7 @@ def quantiles(
     counts = materialise(
         df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_sum(counts, [value], "n", "lo", rows_per_block)
+    ranked = running_sum(counts, [value], "n", "lo", ranges)
     total = counts.agg(F.sum("n").alias("total"))
     wanted = total.select(
         "total", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")

@@ -56,8 +56,15 @@ def remove_prompt(ids: Column, width: Column | int) -> Column:
 def pair_with_references(
     hypotheses: DataFrame, references: DataFrame, id_col: str = "id", hyp: str = "hyp", label: str = "label"
 ) -> DataFrame:
-    """``(id, hyp, label)`` by id. Every reference stays; one without a hypothesis gets null."""
-    return references.select(id_col, label).join(hypotheses.select(id_col, hyp), id_col, "left").select(id_col, hyp, label)
+    """``(id, hyp, label)`` by id. Every reference stays, repeated ones too; one without a hypothesis gets null.
+
+    Two hypotheses for one id have no order by which they could be told apart: that is an error. Counting them costs no further
+    shuffle, since the join is on the same key.
+    """
+    one = hypotheses.groupBy(id_col).agg(F.any_value(hyp).alias("_hyp"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit("more than one hypothesis for id "), F.col(id_col).cast("string")))
+    found = F.when(F.col("_n") > 1, twice.cast(hypotheses.schema[hyp].dataType)).otherwise(F.col("_hyp"))
+    return references.select(id_col, label).join(one, id_col, "left").select(id_col, found.alias(hyp), label)
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty
-from ..session import materialise
+from ..session import materialise, written
 from . import ordering
 
 # Special tokens appended after the last vocabulary id, in this order (fixed values).
 SPECIAL_TOKENS = ["<bos>", "<|endoftext|>", "<speaker1>", "<speaker2>", "<pad>", "<cls>", "<sep>"]
 
-BROADCAST_ROWS = 2_000_000
-HOT_ROWS = 1000
-SPREAD_KEYS = 4096
-SAMPLE_SHARE = 0.01
+BROADCAST_BYTES = 32 << 20
+HOT_WORDS = 1000
+HOT_BYTES = 256
+TRACKED = 20_000
+ASIDE = 4096
 
 
 def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
@@ -50,27 +51,32 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-def fits_broadcast(vocab: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Checked size: true when the vocabulary has at most ``limit`` rows."""
-    return vocab.select(F.lit(1)).limit(limit + 1).count() <= limit
+def table_bytes(vocab: DataFrame, *columns: str) -> int:
+    """Size of a table's text and numbers, counted before it is broadcast."""
+    width = sum((F.octet_length(F.col(c).cast("string")) + 16 for c in columns), F.lit(0))
+    return vocab.agg(F.sum(width.cast("bigint")).alias("n")).first()["n"] or 0
 
 
-def _lookup(
-    rows: DataFrame, sample: DataFrame, vocab: DataFrame, key: str, value: str, small: bool, spread: Column
-) -> DataFrame:
-    """Left join of every element with the vocabulary.
+def frequent_entries(elements: DataFrame, key: str, most: int = HOT_WORDS) -> DataFrame:
+    """``(key)``: the most frequent entries by a mergeable summary, in one pass and with bounded memory.
+
+    An entry whose share of all elements is above ``3.5 / TRACKED`` is never missed by the summary; which of the rarer ones are
+    named is open. Long entries are left out, so the result has at most ``most * HOT_BYTES`` bytes.
+    """
+    short = elements.where(F.octet_length(F.col(key).cast("string")) <= HOT_BYTES)
+    top = short.agg(F.expr(f"approx_top_k({key}, {most}, {TRACKED})").alias("top"))
+    return top.select(F.explode("top.item").alias(key))
 
-    A vocabulary of checked small size is broadcast. A larger one is joined by shuffle, but a few
-    words make up most of any text, so the most frequent ones of a sample are looked up in a
-    broadcast of at most ``HOT_ROWS`` rows first. Their rows, and null elements, take a spread
-    key through the shuffle. The sample only decides which way a row goes, never its value.
+
+def _lookup(rows: DataFrame, vocab: DataFrame, key: str, value: str, spread: Column) -> DataFrame:
+    """Left join of every element with a vocabulary too large to broadcast.
+
+    A few words make up most of any text, so the frequent ones are looked up in a broadcast of bounded size first. Their
+    rows, and null elements, take a spread key through the shuffle. The summary only decides which way a row goes, never its value.
     """
     vocab = vocab.select(F.col(key), F.col(value))
-    if small:
-        return rows.join(F.broadcast(vocab), key, "left")
-    frequent = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(HOT_ROWS)
-    hot = frequent.join(vocab, key).select(key, F.col(value).alias("_hot"))
-    aside = F.concat(F.lit("\0"), F.pmod(F.hash(spread), F.lit(SPREAD_KEYS)).cast("string"))
+    hot = frequent_entries(rows, key).join(vocab, key).select(key, F.col(value).alias("_hot"))
+    aside = F.concat(F.lit("\0"), F.pmod(F.hash(spread), F.lit(ASIDE)).cast("string"))
     route = F.coalesce(F.when(F.col("_hot").isNull(), F.col(key).cast("string")), aside)
     return (
         rows.join(F.broadcast(hot), key, "left").withColumn("_key", route)
@@ -89,23 +95,35 @@ def _slotted(array: Column, slot: int, key: str) -> Column:
 
 def map_arrays(
     df: DataFrame, id_col: str, arrays: dict[str, Column], vocab: DataFrame, *,
-    key: str = "token", value: str = "token_id", small: bool | None = None,
-    on_unknown: str = "error", unknown=None,
+    key: str = "token", value: str = "token_id", broadcast_bytes: int = BROADCAST_BYTES,
+    on_unknown: str = "error", unknown=None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Replace every array element by its vocabulary value: ``(id, <name> ...)``.
+    """Replace every array element by its vocabulary value: ``(id, <keep> ..., <name> ...)``, one row per row of ``df``, repeated ids too.
+
+    The columns of ``keep`` travel with a row's first element.
 
-    The rows are partitioned by id before they are exploded. With a broadcast vocabulary the
-    values of a row therefore come back together with no second shuffle.
+    A vocabulary of at most ``broadcast_bytes`` is broadcast: rows are partitioned by a key of their own before they are exploded,
+    so their values come back together with no second shuffle. For a larger one the arrays are written once, and both the
+    summary of frequent entries and the join read them from there.
     ``on_unknown``: ``error``, ``null`` (element kept as null) or ``unk`` (``unknown`` is used).
     """
-    if small is None:
-        small = fits_broadcast(vocab)
     kind = "bigint" if value == "token_id" else "string"
-    tagged = [_slotted(col, slot, key) for slot, col in enumerate(arrays.values())]
-    elements = F.explode_outer(F.concat(*tagged)).alias("e")
-    exploded = df.repartition(F.col(id_col)).select(F.col(id_col), elements).select(id_col, "e.*")
-    sample = df.sample(fraction=SAMPLE_SHARE, seed=5).select(elements).select("e.*")
-    joined = _lookup(exploded, sample, vocab, key, value, small, F.struct(id_col, "pos"))
+    tagged = F.concat(*[_slotted(col, slot, key) for slot, col in enumerate(arrays.values())])
+    held = [F.struct(*keep).alias("_keep")] if keep else []
+    rows = df.select(F.col(id_col), tagged.alias("_elements"), *held).withColumn("_row", F.monotonically_increasing_id())
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    with_first = [F.when(first, F.col("_keep")).alias("_keep")]
+
+    def elements(held: DataFrame) -> DataFrame:
+        if not keep:
+            return held.select(id_col, "_row", F.explode_outer("_elements").alias("e")).select(id_col, "_row", "e.*")
+        each = held.select(id_col, "_row", "_keep", F.posexplode_outer("_elements").alias("_at", "e"))
+        return each.select(id_col, "_row", *with_first, "e.*")
+
+    if table_bytes(vocab, key, value) <= broadcast_bytes:
+        joined = elements(rows.repartition("_row")).join(F.broadcast(vocab.select(key, value)), key, "left")
+    else:
+        joined = _lookup(elements(written(rows, "elements")), vocab, key, value, F.struct("_row", "pos"))
     found = F.col(value)
     if on_unknown == "unk":
         found = F.coalesce(found, F.lit(unknown).cast(kind))
@@ -116,14 +134,17 @@ def map_arrays(
         ).otherwise(found)
     elif on_unknown != "null":
         raise ValueError(f"on_unknown must be error, null or unk, not {on_unknown!r}")
-    cells = joined.select(id_col, F.struct("slot", "pos", found.alias("v")).alias("cell"))
-    grouped = cells.groupBy(id_col).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    columns = ["_keep"] if keep else []
+    cells = joined.select(id_col, "_row", F.struct("slot", "pos", found.alias("v")).alias("cell"), *columns)
+    carried = [F.first("_keep", ignorenulls=True).alias("_keep")] if keep else []
+    grouped = cells.groupBy("_row", id_col).agg(F.sort_array(F.collect_list("cell")).alias("cells"), *carried)
 
     def slot_values(slot: int) -> Column:
         mine = F.filter("cells", lambda c: c["slot"] == slot)
         return F.coalesce(F.transform(mine, lambda c: c["v"]), empty(kind))
 
-    return grouped.select(id_col, *[slot_values(s).alias(n) for s, n in enumerate(arrays)])
+    kept = [F.col("_keep").getField(c).alias(c) for c in keep]
+    return grouped.select(id_col, *kept, *[slot_values(s).alias(n) for s, n in enumerate(arrays)])
 
 
 def encode(df: DataFrame, id_col: str, tokens: dict[str, Column], vocab: DataFrame, **options) -> DataFrame:

@@ -57,12 +57,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that comes in fewer splits than there are cores.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once to the shared folder: survives lost executors, and its size and columns are known to later plans."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A small file may be one split, which would leave all row-wise work to one core. A table
-    with enough splits is left as it is, so large inputs get no extra shuffle. Use it on a
-    table as read, before any shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Number of shuffle partitions, which the session sizes to its data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
