@@ -125,6 +125,12 @@ LABELLING = {
     "absa_car": ("absa_car", "multi_classes"),
     "news_category": ("news", "multi_classes"),
 }
+# reader: form of the batches
+LAYOUT_OF_READER = {
+    "parallel": "pairs", "question": "question", "dialogue": "dialogue", "tagged": "tags", "tagged_any_break": "tags",
+    "factoid": "span", "emotion": "single", "sentiment": "single", "entailment": "two_texts", "absa_hotel": "vector",
+    "absa_car": "vector", "news": "several",
+}
 # ------------------------------------------------------------------------------------------
 
 
@@ -145,6 +151,11 @@ class Task:
     labels: tuple[str, ...] = ()
     aspects: tuple[str, ...] = ()
 
+    @property
+    def layout(self) -> str:
+        """Form of the task's batches, see :mod:`textloom.plans.prepare`."""
+        return LAYOUT_OF_READER[self.reader]
+
 
 @dataclass(frozen=True)
 class Markers:
@@ -161,9 +172,11 @@ def register_task(task: Task) -> None:
     TASKS[task.name] = task
 
 
-def register_reader(name: str, reader: Callable[..., DataFrame]) -> None:
-    """``reader(spark, path, task)`` -> DataFrame."""
+def register_reader(name: str, reader: Callable[..., DataFrame], layout: str | None = None) -> None:
+    """``reader(spark, path, task)`` -> DataFrame; ``layout`` is the form of its batches."""
     READERS[name] = reader
+    if layout is not None:
+        LAYOUT_OF_READER[name] = layout
 
 
 register_metric = bundles.register_metric
@@ -213,14 +226,14 @@ def task_table(spark: SparkSession) -> DataFrame:
     """The registry as a table."""
     rows = [
         (t.name, t.reader, t.metrics, t.selection, t.paths.get("train"), t.paths.get("valid"), t.paths.get("test"),
-         t.source_language, t.target_language, t.source_code, t.target_code, t.swap, len(t.labels))
+         t.source_language, t.target_language, t.source_code, t.target_code, t.swap, len(t.labels), t.layout)
         for t in TASKS.values()
     ]
     return spark.createDataFrame(
         rows,
         "name string, reader string, metrics string, selection string, train string, valid string, test string, "
         "source_language string, target_language string, source_code string, target_code string, swap boolean, "
-        "n_labels int",
+        "n_labels int, layout string",
     )
 
 
