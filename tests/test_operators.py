@@ -290,3 +290,5 @@ def test_complete_history(spark):
     rows = {r.k: r for r in dialogue.complete_history(turns).collect()}
     assert len(rows) == 400 and rows[399].n == len(rows[399].history) == 799
     assert rows[1].history == ["u0", "r0", "u1"] and rows[399].history[0] == "u0"
+    for block in (1, 7, 399):  # cut into blocks, each with the texts before it
+        assert {r.k: r for r in dialogue.complete_history(turns, block).collect()} == rows

@@ -58,20 +58,28 @@ def pair_turns(
     )
 
 
-def complete_history(turns: DataFrame) -> DataFrame:
+def complete_history(turns: DataFrame, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
     """All texts a turn can see, however many: ``(conv_id, k, n, history, reply)``.
 
-    The result itself grows with the square of a conversation's length; what meets in a task is one conversation.
-    For histories under a token budget use :func:`running_history`, which is bounded. Turns are numbered from 0.
+    The result itself grows with the square of a conversation's length, and the row of a late turn holds nearly all of it. What
+    meets in a task is one block of turns with the texts before the block, gathered once for all its turns, so a long
+    conversation is many tasks. For histories under a token budget use :func:`running_history`. Turns are numbered from 0.
     """
-    turn = F.struct("k", "user_text", "reply")
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    block = F.floor(F.col("k") / turns_per_block)
+    held = turns.select("conv_id", block.alias("_block"), F.struct("k", "user_text", "reply").alias("turn"))
     texts = F.flatten(F.transform("turns", lambda t: F.array(t["user_text"], t["reply"])))
-    each = whole.select("conv_id", texts.alias("texts"), F.explode("turns").alias("t"))
-    n = 2 * F.col("t.k") + 1
-    return each.select(
-        "conv_id", "t.k", n.alias("n"), F.slice("texts", F.lit(1), n.cast("int")).alias("history"), "t.reply"
+    blocks = held.groupBy("conv_id", "_block").agg(F.sort_array(F.collect_list("turn")).alias("turns")).withColumn("texts", texts)
+    ends = turns.groupBy("conv_id").agg(F.max(block).alias("_last")).where("_last > 0")
+    sent = blocks.join(ends, "conv_id").where("_block < _last").select(
+        "conv_id", F.struct("_block", "texts").alias("part"), F.explode(F.sequence(F.col("_block") + 1, F.col("_last"))).alias("_block")
     )
+    before = sent.groupBy("conv_id", "_block").agg(F.sort_array(F.collect_list("part")).alias("parts")).select(
+        "conv_id", "_block", F.flatten(F.transform("parts", lambda p: p["texts"])).alias("before")
+    )
+    each = blocks.join(before, ["conv_id", "_block"], "left").select("conv_id", "before", "texts", F.posexplode("turns").alias("i", "t"))
+    own = F.slice("texts", F.lit(1), 2 * F.col("i") + 1)
+    history = F.when(F.col("before").isNull(), own).otherwise(F.concat("before", own))
+    return each.select("conv_id", "t.k", (2 * F.col("t.k") + 1).alias("n"), history.alias("history"), "t.reply")
 
 
 def running_history(
@@ -80,36 +88,29 @@ def running_history(
 ) -> DataFrame:
     """Texts a turn can see under a budget: earlier user and reply texts in order, then its own user text.
 
-    ``history`` is an array of ``(text, tokens)``; ``n`` is the number of all entries up to the
-    turn. An entry costs at least two places of the budget, so entries further back than
-    ``(max_tokens - 2) / 2`` can never be kept by :func:`truncate_history` and are not carried.
-    That bounds the window, and a conversation is cut into blocks of turns (each with the tail
-    of the block before it), so one very long conversation is spread over many tasks.
-    Turns must be numbered densely from 0.
+    ``history`` is an array of ``(text, tokens)``; ``n`` is the number of all entries up to the turn. Entries are ordered by the
+    running sum of what they cost (their tokens and two more places), so those that can fit are a range of that sum: no entry is
+    carried that starts before the budget. The sums run inside blocks of turns, each with the tail of the block before it that
+    the budget can reach, so one very long conversation is spread over many tasks. Turns must be numbered densely from 0.
     """
-    reach = max(1, (max(max_tokens - 2, 0) // 2 + 1) // 2 + 1)
+    budget = max(max_tokens - 2, 0)
+    reach = max(1, (budget // 2 + 1) // 2 + 1)
     size = max(turns_per_block, reach)
     own = F.floor(F.col("k") / size)
-    spread = turns.withColumn(
-        "_block",
-        F.explode(
-            F.when(F.col("k") % size >= size - reach, F.array(own, own + 1)).otherwise(F.array(own))
-        ),
+    blocks = F.when(F.col("k") % size >= size - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    entry = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("text"), tokenize(F.col(c)).alias("tokens"))
+    entries = (
+        turns.select("conv_id", "k", "id", F.explode(F.array(entry(0, "user_text"), entry(1, "reply"))).alias("e"))
+        .select("conv_id", "k", "id", "e.*", F.explode(blocks).alias("_block"))
     )
-    entry = lambda c: F.struct(F.col(c).alias("text"), tokenize(F.col(c)).alias("tokens"))
-    earlier = Window.partitionBy("conv_id", "_block").orderBy("k").rowsBetween(-reach, -1)
+    in_order = Window.partitionBy("conv_id", "_block").orderBy("k", "side")
+    cost = F.sum(F.greatest(F.size("tokens"), F.lit(0)) + 2).over(in_order)
+    affordable = Window.partitionBy("conv_id", "_block").orderBy("_cost").rangeBetween(-budget, 0)
     return (
-        spread.withColumn("_user", entry("user_text")).withColumn("_reply", entry("reply"))
-        .withColumn("_past", F.collect_list(F.struct("_user", "_reply")).over(earlier))
-        .where(F.col("_block") == own)
-        .select(
-            "conv_id", "k", "id", "reply", F.col("_reply.tokens").alias("reply_tokens"),
-            (2 * F.col("k") + 1).alias("n"),
-            F.concat(
-                F.flatten(F.transform("_past", lambda p: F.array(p["_user"], p["_reply"]))),
-                F.array("_user"),
-            ).alias("history"),
-        )
+        entries.withColumns({"_cost": cost, "reply": F.lead("text").over(in_order), "reply_tokens": F.lead("tokens").over(in_order)})
+        .withColumn("history", F.collect_list(F.struct("text", "tokens")).over(affordable))
+        .where((F.col("side") == 0) & (F.col("_block") == own))
+        .select("conv_id", "k", "id", "reply", "reply_tokens", (2 * F.col("k") + 1).alias("n"), "history")
     )
 
 
