@@ -10,7 +10,7 @@ end there and groups never do: tokens, groups and links of a text are those of i
 encoded or aligned again. The memory of parts is bounded, long parts are not remembered.
 
 A link is a pair of tokens, one of each side, that end together. One of them is then a suffix of the other, so two vocabularies have
-a fixed number of possible pairs (``possible_pairs``: 0.6 million for the public files), whatever the corpus. Counts of pairs are
+a fixed number of possible pairs (``possible_pairs``: 324,297 for the public files), whatever the corpus. Counts of pairs are
 summed per task, then by shuffle; they go to the tasks in blocks of at most ``PAIRS`` pairs.
 
 A null or empty text, and one that either side does not give back byte for byte, has no tokens: zeros and an empty
