@@ -119,16 +119,25 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     parts = partitions(spark)
     cuts = docs.where(F.col(doc_id).isNotNull()).approxQuantile(doc_id, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    bounds = sorted({int(c) for c in cuts})
-    # Partition 0 has the largest ids.
-    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
+    bounds = sorted({int(c) for c in cuts}, reverse=True)
+    # Partition 0 has the largest ids. Bounds are looked up in two steps: the group, then the place in it.
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[at : at + step] for at in range(0, len(bounds), step)]
+    count = lambda array: F.size(F.filter(array, lambda b: b > F.col("doc_id")))
+    if bounds:
+        whole = count(F.array(*[F.lit(g[-1]) for g in groups]))  # groups that lie above the id
+        inside = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), whole)
+        above = whole * step + F.when(inside.isNull(), 0).otherwise(count(inside)) - F.when(whole == len(groups), len(groups) * step - len(bounds)).otherwise(0)
+    else:
+        above = F.lit(0)
     part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(above).cast("int")
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("part", part)
     first = sorted((r.part, r["first"]) for r in named.groupBy("part").agg(F.max("doc_id").alias("first")).collect())  # one row per partition
-    own = F.lit(None).cast("int")
-    for k, (p, i) in enumerate(first):
-        own = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(i)), F.lit(first[k - 1][0])).otherwise(own)
-    guest = named.withColumn("guest", own).withColumn("homes", F.when(F.col("guest").isNull(), F.array("part")).otherwise(F.array("part", "guest")))
+    kind = named.schema["doc_id"].dataType.simpleString()
+    hosts = spark.createDataFrame([(p, i, first[k - 1][0]) for k, (p, i) in enumerate(first)], f"_part int, _first {kind}, guest int")
+    at_home = (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    # One row per partition.
+    guest = named.join(F.broadcast(hosts), at_home, "left").withColumn("homes", F.when(F.col("guest").isNull(), F.array("part")).otherwise(F.array("part", "guest")))
     rows = guest.select("doc_id", "text", F.posexplode("homes").alias("place", "part")).withColumn("guest", F.col("place") == 1)
     placed = rows.repartitionById(max(parts, len(bounds) + 1), F.col("part"))
     return placed.sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text")).select("doc_id", "text", "guest")
