@@ -38,7 +38,8 @@ def assign_batches(
     placed = placed.withColumns({"batch_id": F.floor(F.col("position") / batch_size), "place": F.col("position") % batch_size})
     whole_batch = Window.partitionBy("batch_id")
     widths = [F.max(n).over(whole_batch).alias(n) for n in lengths]
-    return rows.join(placed.select("_row", "position", "batch_id", "place", *widths), "_row").drop("_row")
+    # A merge join keeps the wide rows in as many tasks as the shuffle has; a small table's rows would else be broadcast to few.
+    return rows.hint("merge").join(placed.select("_row", "position", "batch_id", "place", *widths), "_row").drop("_row")
 
 
 def length_class(length: Column, step: int = 64) -> Column:
