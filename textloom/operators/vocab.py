@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty
-from ..session import materialise, written
+from ..session import written
 from . import ordering
 
 # Special tokens appended after the last vocabulary id, in this order (fixed values).
@@ -24,7 +24,7 @@ ASIDE = 4096
 def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """Distinct tokens with dense ids from 0 in token order."""
     distinct = tokens.select(F.col(token_col).alias("token")).distinct()
-    return ordering.running_sum(materialise(distinct), ["token"], out="token_id")
+    return ordering.running_sum(distinct, ["token"], out="token_id")
 
 
 def add_special_tokens(vocab: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:
