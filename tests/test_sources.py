@@ -69,6 +69,31 @@ def test_tagged_any_break(spark, tmp_path):
     assert [r.seq_label for r in rows] == [[1], [4], [1]]
 
 
+def test_tagged_any_break_over_splits(spark, tmp_path):
+    """A file without a blank line is no single chunk; sentences cross splits, and the last one of a file may lack its end."""
+    folder = tmp_path / "any"
+    folder.mkdir()
+    want, files = [], []
+    for part in range(3):
+        text = "start\n" if part == 1 else ""
+        for n in range(40):
+            words = [f"w{part}.{n}.{k}" for k in range(n % 7 + 1)]
+            want.append(words)
+            text += "".join(f"{w}\tO\n" for w in words) + ("" if n == 39 else "end of\nsentence\n" if n % 3 else "\n")
+        files.append(put(folder, f"{part}.txt", text))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.read_tagged(spark, str(folder), any_break=True)
+            assert [(i, t) for i, t, _ in sentences(rows)] == list(enumerate(want))
+            ended = readers.read_tagged(spark, str(folder), any_break=True, strict_tail=True)
+            assert [(i, t) for i, t, _ in sentences(ended)] == list(enumerate(w for n, w in enumerate(want) if n % 40 != 39))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert readers.read_tagged(spark, files[0], any_break=True).tail(1)[0].tokens
+
+
 def test_tagged_over_many_splits(spark, tmp_path):
     text = "".join(f"w{i}\tO\nv{i}\tB\n\n" for i in range(4000))
     path = put(tmp_path, "big.txt", text)

@@ -20,7 +20,9 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ class JsonObjects:
     keeps_delimiter: bool = True
     header: bool = False
     begin: tuple[bool, int] = (False, 0)
+    drops_mark: bool = True
 
     def _read(self, inside: bool, parts: list[str]) -> tuple[bool, int]:
         """Whether a chunk ends in a string, and the braces it opens; ``parts`` is the chunk, cut at its quotes."""
@@ -102,6 +105,7 @@ class QuotedLines:
     delimiter: str = "\n"
     keeps_delimiter: bool = False
     begin: tuple[bool] = (False,)
+    drops_mark: bool = True
 
     def step(self, state: tuple[bool], line: str) -> tuple[tuple[bool], int]:
         inside = state[0]
@@ -143,24 +147,107 @@ class QuotedLines:
         return F.lit(True)
 
 
-Syntax = JsonObjects | QuotedLines
+@dataclass(frozen=True)
+class TabLines:
+    """Runs of lines that hold a tab; a line without a tab (and without stray line end characters) ends one. A state is ``(in a run,)``.
+
+    The last run of a file may lack its end; with ``strict_tail`` it is then no record.
+    """
 
+    delimiter: str = "\n"
+    strict_tail: bool = False
+    keeps_delimiter: bool = False
+    header: bool = False
+    begin: tuple[bool] = (False,)
+    drops_mark: bool = False
+
+    def _kinds(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines hold a tab, and which end a run."""
+        has = lambda c: pc.match_substring(lines, c).to_numpy(zero_copy_only=False)
+        tab = has("\t")
+        return tab, ~(tab | has("\r") | has("\n"))
+
+    def summaries(self, arrays: Iterator[pa.Array]) -> list[tuple[int, int, int, int]]:
+        """Where a split leads from outside and from inside a run, and how many runs end; the ways differ up to the first line that counts."""
+        inside, met, lead = False, 0, None
+        for lines in arrays:
+            tab, ends = self._kinds(lines)
+            counts = np.flatnonzero(tab | ends)
+            if len(counts) == 0:
+                continue
+            if lead is None:
+                lead = int(ends[counts[0]])
+            before = np.concatenate([[inside], tab[counts[:-1]]])
+            met += int((ends[counts] & before).sum())
+            inside = bool(tab[counts[-1]])
+        return [(int(inside), 0, 0, met), (int(inside or lead is None), 0, 0, met + (lead or 0))]
+
+    def complete(self, arrays: Iterator[pa.Array], inside: list[bool], held: list[str]) -> Iterator[pa.Array]:
+        """Arrays of the runs that end here, their lines joined; ``held`` is left with the lines of the last one, if it is open."""
+        begun = inside[0]
+        for lines in arrays:
+            tab, ends = self._kinds(lines)
+            at = np.flatnonzero(ends)
+            kept = lines.filter(pa.array(tab))
+            upto = np.concatenate([[0], np.cumsum(tab)[at]])  # lines with a tab before each end
+            if len(at) == 0:
+                held += kept.to_pylist()
+                begun |= len(kept) > 0
+                continue
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), kept), self.delimiter)
+            full = np.diff(upto) > 0
+            if begun:
+                first = pa.array([self.delimiter.join(held + kept.slice(0, int(upto[1])).to_pylist())], texts.type)
+                texts, full[0] = pa.concat_arrays([first, texts.slice(1)]), True
+            if full.any():
+                yield texts.filter(pa.array(full))
+            held[:] = kept.slice(int(upto[-1])).to_pylist()
+            begun = len(held) > 0
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
-    """``((file, start), chunks)`` for every split in a task; the chunks must be used up before the next split."""
-    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-    ahead = next(rows, None)
+    def after(self, state: tuple[bool], summary: tuple[int, int, int, int]) -> tuple[tuple[bool], int]:
+        return (bool(summary[0]),), summary[3]
+
+    def clean(self, value: Column) -> Column:
+        return value
+
+    def is_record(self, value: Column) -> Column:
+        return F.contains(value, F.lit("\t"))
 
-    def chunks(key: tuple) -> Iterator[str]:
+
+Syntax = JsonObjects | QuotedLines | TabLines
+
+
+def _splits(batches: Iterator[pa.RecordBatch], drops_mark: bool = True) -> Iterator[tuple[tuple, Iterator[pa.Array]]]:
+    """``((file, start), arrays of chunks)`` for every split in a task; the arrays must be used up before the next split."""
+
+    def runs() -> Iterator[tuple[tuple, pa.Array]]:
+        for b in batches:
+            file, start = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(start) != 0)) + 1
+            ends = [0, *cuts.tolist(), len(file)] if len(file) else []
+            for at, end in zip(ends, ends[1:]):
+                yield (int(file[at]), int(start[at])), b.column(0).slice(at, end - at)
+
+    found = runs()
+    ahead = next(found, None)
+
+    def arrays(key: tuple) -> Iterator[pa.Array]:
         nonlocal ahead
-        first = key[1] == 0
-        while ahead is not None and ahead[1:3] == key:
-            yield ahead[0].removeprefix("\ufeff") if first else ahead[0]
-            first, ahead = False, next(rows, None)
+        first = drops_mark and key[1] == 0
+        while ahead is not None and ahead[0] == key:
+            values = ahead[1]
+            if first and values[0].as_py().startswith("\ufeff"):
+                values = pa.concat_arrays([pa.array([values[0].as_py()[1:]], values.type), values.slice(1)])
+            yield values
+            first, ahead = False, next(found, None)
 
     while ahead is not None:
-        key = ahead[1:3]
-        yield key, chunks(key)
+        key = ahead[0]
+        yield key, arrays(key)
+
+
+def _each(arrays: Iterator[pa.Array]) -> Iterator[str]:
+    return (chunk for values in arrays for chunk in values.to_pylist())
 
 
 def _chunks(spark: SparkSession, path: str, syntax: Syntax) -> DataFrame:
@@ -172,14 +259,8 @@ def _summaries(spark: SparkSession, path: str, syntax: Syntax) -> list:
     """One row per split, in file order, with the first record of a file that has a header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths: dict[int, str] = {}
-
-        def named() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                paths.update(zip(b.column(1).to_pylist(), b.column(3).to_pylist()))
-                yield b.select([0, 1, 2])
-
-        for (file, start), chunks in _splits(named()):
+        for (file, start), arrays in _splits(batches, syntax.drops_mark):
+            chunks = arrays if isinstance(syntax, TabLines) else _each(arrays)
             record: list[str] = []
             state, kind = syntax.begin, CONTINUES
 
@@ -192,15 +273,17 @@ def _summaries(spark: SparkSession, path: str, syntax: Syntax) -> list:
                             record.append(chunk)
                     yield chunk
 
-            ways = [n for way in syntax.summaries(watched()) for n in way]
+            ways = [n for way in syntax.summaries(chunks if isinstance(syntax, TabLines) else watched()) for n in way]
             yield pa.RecordBatch.from_pydict(
-                {"path": [paths[file]], "file": [file], "start": [start], "ways": [ways], "record": [syntax.delimiter.join(record) if record else None]},
-                schema=pa.schema([("path", pa.string()), ("file", pa.int64()), ("start", pa.int64()), ("ways", pa.list_(pa.int64())), ("record", pa.string())]),
+                {"file": [file], "start": [start], "ways": [ways], "record": [syntax.delimiter.join(record) if record else None]},
+                schema=pa.schema([("file", pa.int64()), ("start", pa.int64()), ("ways", pa.list_(pa.int64())), ("record", pa.string())]),
             )
 
-    chunks = _chunks(spark, path, syntax).withColumn("path", F.col("_metadata.file_path"))
-    found = chunks.mapInArrow(run, "path string, file bigint, start bigint, ways array<bigint>, record string")
-    return sorted(found.collect(), key=lambda r: (r.path, r.start))
+    found = _chunks(spark, path, syntax).mapInArrow(run, "file bigint, start bigint, ways array<bigint>, record string")
+    # One row per file, without its content.
+    name = F.col("_metadata.file_path")
+    paths = dict(spark.read.format("binaryFile").load(path).select(F.xxhash64(name), name).collect())
+    return sorted(found.collect(), key=lambda r: (paths[r.file], r.start))
 
 
 def read_records(spark: SparkSession, path: str, syntax: Syntax) -> tuple[DataFrame, str | None]:
@@ -209,28 +292,53 @@ def read_records(spark: SparkSession, path: str, syntax: Syntax) -> tuple[DataFr
     Headers are no records. Steps 1 and 2 run at once, the rest when the result is used.
     """
     known: dict[tuple[int, int], tuple] = {}
+    tails: set[tuple[int, int]] = set()  # of a file's records, the last one that has no end and is left out
     header, file, state, here, total = None, None, syntax.begin, 0, 0
+
+    def close() -> int:
+        """Records of the file so far, with one that has no end."""
+        if not isinstance(syntax, TabLines) or state == syntax.begin:
+            return here
+        if syntax.strict_tail:
+            tails.add((file, here))
+        return here + (not syntax.strict_tail)
+
     for row in _summaries(spark, path, syntax):
         if row.file != file:
+            here = close()
             file, state, here, total = row.file, syntax.begin, 0, total + max(0, here - syntax.header)
         header = header if header is not None else row.record
         known[row.file, row.start] = state, here, total
         four = row.ways[4:] if state[0] else row.ways[:4]
         state, ended = syntax.after(state, tuple(four))
         here += ended
-    shared = spark.sparkContext.broadcast(known)
+    close()
+    shared = spark.sparkContext.broadcast((known, tails))
     skip = int(syntax.header)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("value", pa.string())])
         out: list[tuple] = []
         size = 0
-        for (file, start), chunks in _splits(batches):
-            if (file, start) not in shared.value:
+        known, tails = shared.value
+        for (file, start), arrays in _splits(batches, syntax.drops_mark):
+            if (file, start) not in known:
                 raise RuntimeError("the files or their splits changed between planning and reading")
-            state, number, base = shared.value[file, start]
+            state, number, base = known[file, start]
             held, opened = [], state != syntax.begin
-            for chunk in chunks:
+            if isinstance(syntax, TabLines):
+                opened = [opened]
+                for complete in syntax.complete(arrays, opened, held):
+                    first = [start if opened[0] else None]
+                    opened[0] = False
+                    n = len(complete)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(n, file)), pa.array(np.arange(n) + base + number),
+                        pa.array(first + [None] * (n - 1), pa.int64()), complete.cast(pa.string()),
+                    ], schema=schema)
+                    number += n
+                arrays = iter(())
+            for chunk in _each(arrays):
                 state, kind = syntax.step(state, chunk)
                 if kind == NOTHING:
                     continue
@@ -244,7 +352,7 @@ def read_records(spark: SparkSession, path: str, syntax: Syntax) -> tuple[DataFr
                     if len(out) >= 2000 or size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                         out, size = [], 0
-            if held and number >= skip:
+            if held and number >= skip and (file, number) not in tails:
                 out.append((file, base + number - skip, start, "".join(c + syntax.delimiter for c in held)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
