@@ -30,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more."""
+    """SimHash components at two bits, joined with links of five-word shingle sets at similarity 0.8 or more."""
     return near_copies.keep_one(docs)
 
 

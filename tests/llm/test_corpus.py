@@ -265,6 +265,16 @@ def test_imatch_lexicon_is_exact(spark):
     assert len(imatch.lexicon(docs.limit(0))) == 0 and not imatch.fingerprint(None, want).any() and imatch.fingerprint("a b", want[:0]).any()
 
 
+def test_pipeline_follows_simhash_links(spark):
+    """Repeats of a line leave the fingerprint as it is, but not the set of five-word runs."""
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda "  # an odd number of words: no bit is a draw
+    texts = [line * 40, line * 40 + "one two three four five six seven", "something else of its own", line * 40 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    by_hash = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert by_hash == {0: 0, 1: 0, 2: 2, 3: 0} and near_copies.similarity(near_copies.shingles(texts[0]), near_copies.shingles(texts[1])) < 0.8
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()} == {0, 2}
+
+
 def test_near_copies_in_large_groups_and_buckets(spark, monkeypatch):
     """A group of copies, and texts that share half of theirs but are no copies; buckets of any size give the same."""
     rng = np.random.default_rng(11)

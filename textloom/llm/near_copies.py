@@ -1,4 +1,7 @@
-"""Near-copy removal by exact similarity of shingle sets.
+"""Near-copy removal by SimHash components, and by exact similarity of shingle sets.
+
+Texts whose fingerprints link in ``simhash`` (meet-in-the-middle ball hashing, two bits) are near copies. At two bits that method misses
+most pairs that share four fifths of their shingles, so links by shingle sets are added to its own before components are taken.
 
 A text is the set of its runs of five words (A-Z lower-cased; a shorter text is one run). Two texts are near copies if their sets
 have a Jaccard similarity of ``SIMILARITY`` or more. Candidates share one of ``BANDS`` keys, each of ``ROWS`` minima of the set
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bound_batches, joined, mix, or_empty, partitions, saved, words_of
 from .simhash import components
 
@@ -197,11 +201,17 @@ def verified(roots: DataFrame, nodes: DataFrame, sketches: DataFrame) -> DataFra
     return met.mapInArrow(run, "a binary, b binary")
 
 
+def hashed(nodes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of the SimHash components: each text of ``nodes(fp, text)`` with the one its component is named by."""
+    named = simhash.near_duplicates(nodes, doc_id="fp").where("doc_id <> component_id")
+    return named.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+
+
 def linked(nodes: DataFrame) -> DataFrame:
-    """``(fp, root)`` for every text of ``nodes(fp, text)`` that has a near copy."""
+    """``(fp, root)`` for every text of ``nodes(fp, text)`` that has a near copy: by its SimHash fingerprint, or by shingle sets."""
     sketches = saved(sketched(nodes), "sketches")
     roots = components(saved(clusters(sketches), "clusters"))
-    return components(saved(verified(roots, nodes, sketches), "links"))
+    return components(saved(hashed(nodes).union(verified(roots, nodes, sketches)).distinct(), "links"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
