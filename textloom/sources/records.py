@@ -27,6 +27,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 # The functions travel with the job, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -292,6 +294,7 @@ def read_records(spark: SparkSession, path: str, syntax: Syntax) -> tuple[DataFr
     Headers are no records. Steps 1 and 2 run at once, the rest when the result is used.
     """
     known: dict[tuple[int, int], tuple] = {}
+    bound_batches(spark)
     tails: set[tuple[int, int]] = set()  # of a file's records, the last one that has no end and is left out
     header, file, state, here, total = None, None, syntax.begin, 0, 0
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_sum
+from ..session import bound_batches
 
 
 def _mode(overwrite: bool) -> str:
@@ -47,6 +48,7 @@ def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
         if held is not None:
             yield pa.RecordBatch.from_pydict({"value": [held, "]"]})
 
+    bound_batches(df.sparkSession)
     objects = df.select(F.to_json(F.struct("*")).alias("value"))
     objects.mapInArrow(run, "value string").write.mode(_mode(overwrite)).text(path)
 
