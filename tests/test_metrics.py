@@ -2,12 +2,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators.metrics import answers, bleu, chunks, classification, loss, rouge
+from textloom.operators.metrics import answers, bleu, chunks, classification, loss, overlap, rouge
 from textloom.plans import bundles
 
 
@@ -298,3 +300,16 @@ def test_masked_loss_refuses_targets_without_a_score(spark):
     df = spark.createDataFrame([([[0.0, 1.0], [0.0, 1.0]], [0, 5])], "logits array<array<double>>, labels array<int>")
     with pytest.raises(Exception, match="no score for target 5"):
         loss.masked_loss(df).collect()
+
+
+def test_batch_matches_against_counters():
+    rng = np.random.default_rng(3)
+    space = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    text = lambda: "".join(w + str(rng.choice(space)) * int(rng.integers(1, 3)) for w in rng.choice(["a", "b", "c", "dd"], int(rng.integers(0, 30))))
+    hyps, refs = [["", " a", *(text() for _ in range(60))] for _ in range(2)]
+    orders = (1, 2, 3, 4)
+    want = [(len(h), len(r), *(overlap.clipped_matches(h, r, n) for n in orders)) for h, r in zip(map(str.split, hyps), map(str.split, refs))]
+    for rows in (slice(0, None), slice(0, 1), slice(0, 0)):
+        found = overlap.batch_matches(pa.array(hyps[rows], pa.large_string()), pa.array(refs[rows], pa.large_string()), orders)
+        assert list(zip(*(c.tolist() for c in found))) == want[rows]
+    assert len(overlap.batch_matches(pa.array(hyps), pa.array(refs), ())) == 2

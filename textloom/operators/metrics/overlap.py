@@ -14,7 +14,10 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ...functions.arrays import ngrams
 from ...functions.text import words
+from ...session import bound_batches
 
 # Ship the helpers below with the job, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,15 +46,62 @@ def clipped_matches(hyp: list[str], ref: list[str], n: int) -> int:
     return sum(min(count, many[gram]) for gram, count in few.items() if gram in many)
 
 
+PART_CHARS = 4 << 20  # of both sides' texts, counted at once
+
+
+def _encoded(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal numbers get equal small ones, and how many there are."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts as ``str.split`` gives them, and the row of each."""
+    parts = pc.utf8_split_whitespace(texts)
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    words_ = parts.flatten()
+    full = pc.not_equal(words_, "")
+    return words_.filter(full), rows[full.to_numpy(zero_copy_only=False)]
+
+
+def batch_matches(hyps: pa.Array, refs: pa.Array, orders: tuple[int, ...]) -> list[np.ndarray]:
+    """Per row: tokens of both sides, and :func:`clipped_matches` of each order, for a whole batch by integer ids."""
+    rows_n = len(hyps)
+    (hyp, hyp_rows), (ref, ref_rows) = _tokens(hyps), _tokens(refs)
+    sizes = [np.bincount(r, minlength=rows_n) for r in (hyp_rows, ref_rows)]
+    code = pa.concat_arrays([hyp, ref]).dictionary_encode()
+    row = np.concatenate([hyp_rows, ref_rows])
+    text = np.concatenate([hyp_rows, ref_rows + rows_n])  # the text a token is in
+    first, kinds = _encoded(row * max(1, len(code.dictionary)) + code.indices.to_numpy())
+    at, gram, matches = np.arange(len(row)), first, {}
+    for n in range(1, max(orders, default=0) + 1):
+        if n > 1:
+            fits = at + (n - 1) < len(row)
+            fits[fits] = text[at[fits] + (n - 1)] == text[at[fits]]
+            at, gram = at[fits], gram[fits]
+            gram, kinds_n = _encoded(gram * max(1, kinds) + first[at + (n - 1)])
+        else:
+            kinds_n = kinds
+        if n in orders:
+            in_hyp = text[at] < rows_n
+            both = np.minimum(np.bincount(gram[in_hyp], minlength=kinds_n), np.bincount(gram[~in_hyp], minlength=kinds_n))
+            owner = np.zeros(kinds_n, np.int64)
+            owner[gram] = row[at]
+            matches[n] = np.bincount(owner, weights=both, minlength=rows_n).astype(np.int64)
+    return [*sizes, *(matches[n] for n in orders)]
+
+
 def _row_counter(orders: tuple[int, ...]):
     names = ["hyp", "ref", *[f"m{n}" for n in orders]]
 
     def count(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        out = []
-        for hyp, ref in zip(hyps, refs):
-            h, r = hyp.split(), ref.split()
-            out.append((len(h), len(r), *(clipped_matches(h, r, n) for n in orders)))
-        return pd.DataFrame(out, columns=names, dtype="int64")
+        chars = np.cumsum(hyps.str.len().to_numpy() + refs.str.len().to_numpy()) // PART_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(chars)) + 1).tolist(), len(hyps)]
+        parts = [
+            batch_matches(*(pa.array(t.iloc[a:b], pa.large_string()) for t in (hyps, refs)), orders)
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*parts))}, columns=names, dtype="int64")
 
     return F.pandas_udf(count, StructType([StructField(n, LongType()) for n in names]))
 
@@ -68,6 +119,7 @@ def ngram_overlap(
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text(hyp).alias("_hyp"), text(label).alias("_label"))
     if method == "row":
+        bound_batches(df.sparkSession)
         return _by_row(rows, schemes, extra or {})
     if method == "group":
         return _by_group(rows, schemes, extra or {})
