@@ -313,3 +313,15 @@ def test_batch_matches_against_counters():
         found = overlap.batch_matches(pa.array(hyps[rows], pa.large_string()), pa.array(refs[rows], pa.large_string()), orders)
         assert list(zip(*(c.tolist() for c in found))) == want[rows]
     assert len(overlap.batch_matches(pa.array(hyps), pa.array(refs), ())) == 2
+
+
+def test_grouped_counts_keep_their_partitions(spark):
+    """Adaptive execution must not join partitions whose exploded n-grams are many times larger."""
+    df = frame(spark, [("a b c", "a b d")] * 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        counts = overlap.ngram_overlap(df, {"w": overlap.Scheme(F.lower, (1, 2))}, method="group")
+        assert counts.rdd.getNumPartitions() == 7 and {(r.w_m1, r.w_m2) for r in counts.collect()} == {(2, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

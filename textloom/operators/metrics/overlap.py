@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ...functions.arrays import ngrams
 from ...functions.text import words
-from ...session import bound_batches
+from ...session import bound_batches, shuffle_partitions
 
 # Ship the helpers below with the job, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,7 +139,8 @@ def _by_row(rows: DataFrame, schemes: dict[str, Scheme], extra: dict[str, Column
 
 def _by_group(rows: DataFrame, schemes: dict[str, Scheme], extra: dict[str, Column]) -> DataFrame:
     """The n-grams of a row are counted where they were made: one exchange, of the texts."""
-    rows = rows.repartition("id")
+    # A number of its own: adaptive execution would join small partitions to ones whose n-grams spill.
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "id")
     for name, scheme in schemes.items():
         rows = rows.withColumn(f"_{name}_h", words(scheme.text(F.col("_hyp")))).withColumn(
             f"_{name}_r", words(scheme.text(F.col("_label")))
