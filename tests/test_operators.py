@@ -292,3 +292,16 @@ def test_complete_history(spark):
     assert rows[1].history == ["u0", "r0", "u1"] and rows[399].history[0] == "u0"
     for block in (1, 7, 399):  # cut into blocks, each with the texts before it
         assert {r.k: r for r in dialogue.complete_history(turns, block).collect()} == rows
+
+
+def test_mapped_arrays_keep_their_partitions(spark):
+    """Adaptive execution must not join partitions that are about to be exploded."""
+    words = spark.createDataFrame([("a", 0), ("b", 1)], "token string, token_id bigint")
+    rows = spark.createDataFrame([(i, ["a", "b"]) for i in range(20)], "id bigint, w array<string>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        found = vocab.encode(rows, "id", {"ids": F.col("w")}, words)
+        assert found.rdd.getNumPartitions() == 7 and {tuple(r.ids) for r in found.collect()} == {(0, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

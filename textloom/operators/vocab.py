@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty
-from ..session import written
+from ..session import shuffle_partitions, written
 from . import ordering
 
 # Special tokens appended after the last vocabulary id, in this order (fixed values).
@@ -121,7 +121,7 @@ def map_arrays(
         return each.select(id_col, "_row", *with_first, "e.*")
 
     if table_bytes(vocab, key, value) <= broadcast_bytes:
-        joined = elements(rows.repartition("_row")).join(F.broadcast(vocab.select(key, value)), key, "left")
+        joined = elements(rows.repartition(shuffle_partitions(df.sparkSession), "_row")).join(F.broadcast(vocab.select(key, value)), key, "left")
     else:
         joined = _lookup(elements(written(rows, "elements")), vocab, key, value, F.struct("_row", "pos"))
     found = F.col(value)
