@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def in_steps(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Every step of the one before; what a step gives is worked out once, however often the next one names it."""
+    held = F.array(value)
+    for step in steps:
+        held = F.transform(held, step)
+    return F.get(held, F.lit(0))
+
+
 def repeat(value, count: Column | int, kind: str = "bigint") -> Column:
     count = F.lit(count) if isinstance(count, int) else count
     return F.array_repeat(F.lit(value).cast(kind), F.greatest(count, F.lit(0)).cast("int"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import in_steps
+
 # --- fixed values -------------------------------------------------------------------------
 # White space as Python's str.split() knows it: Unicode white space plus four separators.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -187,33 +189,38 @@ def word_pair_text(left: Column, right: Column) -> Column:
     return pair_text(F.array_join(left, " "), F.array_join(right, " "))
 
 
-def _quoted_items(inner: Column, quote: str) -> Column:
-    """Items of ``'a', 'b'`` for one kind of quote; null when the text has another shape."""
-    body = F.substr(inner, F.lit(2), F.length(inner) - 2)
-    items = F.split(body, quote + r"\s*,\s*" + quote)
-    sound = (
-        (F.length(inner) >= 2) & F.startswith(inner, F.lit(quote)) & F.endswith(inner, F.lit(quote))
-        & F.forall(items, lambda x: ~F.contains(x, F.lit(quote)))
-    )
-    return F.when(sound, items)
-
-
 def parse_list_literal(cell: Column) -> Column:
     """``"['a', 'b']"`` -> array of strings, never evaluated as code.
 
     Covers lists with one kind of quote and no backslash. Other cells are null here; see
     ``operators.literals`` for those.
     """
-    bare = F.trim(cell)
-    listed = F.startswith(bare, F.lit("[")) & F.endswith(bare, F.lit("]")) & (F.length(bare) >= 2)
-    inner = F.regexp_replace(F.trim(F.substr(bare, F.lit(2), F.length(bare) - 2)), r"\s*,$", "")
-    single, double = F.contains(cell, F.lit("'")), F.contains(cell, F.lit('"'))
-    plain = listed & ~F.contains(cell, F.lit("\\"))
-    return (
-        F.when(plain & (inner == ""), F.array().cast("array<string>"))
-        .when(plain & single & ~double, _quoted_items(inner, "'"))
-        .when(plain & double & ~single, _quoted_items(inner, '"'))
+    has = lambda text, c: F.contains(text, F.lit(c))
+
+    def body(bare: Column) -> Column:
+        listed = F.startswith(bare, F.lit("[")) & F.endswith(bare, F.lit("]")) & (F.length(bare) >= 2)
+        quote = F.when(has(bare, "'"), F.when(~has(bare, '"'), "'")).when(has(bare, '"'), '"')
+        text = F.when(listed & ~has(bare, "\\"), F.trim(F.substr(bare, F.lit(2), F.length(bare) - 2)))
+        return F.struct(text.alias("text"), quote.alias("quote"))
+
+    def without_last_comma(s: Column) -> Column:
+        # The pattern reads the whole text, so only where a comma is last, or before a line end.
+        inner = F.when(has(F.substring(s["text"], -3, 3), ","), F.regexp_replace(s["text"], r"\s*,$", "")).otherwise(s["text"])
+        return F.struct(inner.alias("inner"), s["quote"].alias("quote"))
+
+    def split(s: Column) -> Column:
+        inner, quote = s["inner"], s["quote"]
+        shaped = (F.length(inner) >= 2) & F.startswith(inner, quote) & F.endswith(inner, quote)
+        between = F.concat(quote, F.lit(r"\s*,\s*"), quote)
+        items = F.when(shaped, F.split(F.substr(inner, F.lit(2), F.length(inner) - 2), between))
+        quotes = F.octet_length(inner) - F.octet_length(F.replace(inner, quote, F.lit("")))
+        return F.struct((inner == "").alias("empty"), quotes.alias("quotes"), items.alias("items"))
+
+    # Every item has two quotes around it, and none inside.
+    sound = lambda s: F.when(s["empty"], F.array().cast("array<string>")).when(
+        s["items"].isNotNull() & (s["quotes"] == 2 * F.size(s["items"])), s["items"]
     )
+    return in_steps(F.trim(cell), body, without_last_comma, split, sound)
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
