@@ -34,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CONTINUES, ENDS, NOTHING = 0, 1, 2
 _ESCAPED = re.compile(r"\\.", re.S)
+_QUOTED = re.compile(r'[^"]*(?:""[^"]*)*')  # up to the quote that ends a cell
 
 
 @dataclass(frozen=True)
@@ -118,12 +119,9 @@ class QuotedLines:
             inside, at = True, 1
         while True:
             if inside:
-                at = line.find('"', at)
-                if at < 0:
+                at = _QUOTED.match(line, at).end()
+                if at == len(line):
                     return (True,), CONTINUES
-                if line.startswith('"', at + 1):
-                    at += 2
-                    continue
                 inside, at = False, at + 1
             at = line.find(opens, at)  # only a cell that begins with a quote is quoted
             if at < 0:
