@@ -2,64 +2,101 @@
 
 Tags are ``PREFIX-TYPE`` with prefixes B, I, E, S, O and ``.``; no hyphen means the empty type.
 The sentence stands alone: before it and after it the tag is ``O``. Chunk borders depend on
-neighbouring tags only, so all work is in the row and only counts are shuffled.
+neighbouring tags only, so all work is in the row and only counts are shuffled. The tags of a batch of rows are
+compared as arrays of small numbers, in a short Arrow function.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ...functions.arrays import take
+from ...session import bound_batches
 from .classification import from_counts, ratio
 
+# The functions travel with the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Prefixes as bits, so that a border is a few integer tests.
 B, I, E, S, O, DOT = 1, 2, 4, 8, 16, 32
-START, END = 1, 2
-
-
-def _parts(tags: Column) -> Column:
-    """Tag -> (prefix bit, type)."""
-
-    def part(tag: Column) -> Column:
-        prefix = F.substring_index(tag, "-", 1)
-        bit = F.when(prefix == "O", O).when(prefix == "B", B).when(prefix == "I", I).when(prefix == "E", E)
-        bit = bit.when(prefix == "S", S).when(prefix == ".", DOT).otherwise(0)
-        kind = F.when(prefix == tag, "").otherwise(F.substr(tag, F.length(prefix) + 2))
-        return F.struct(bit.alias("p"), kind.alias("t"))
-
-    return F.transform(tags, part)
-
-
-def _border(last: Column, now: Column) -> Column:
-    """START if a chunk starts here, plus END if one ended just before."""
-    is_in = lambda part, bits: part["p"].bitwiseAND(bits) != 0
-    changed = last["t"] != now["t"]
-    starts = is_in(now, B | S) | (is_in(last, E | S | O) & is_in(now, E | I)) | (changed & ~is_in(now, O | DOT))
-    ends = is_in(last, E | S) | (is_in(last, B | I) & is_in(now, B | S | O)) | (changed & ~is_in(last, O | DOT))
-    quiet = is_in(last, O) & is_in(now, O)
-    return F.when(quiet, 0).otherwise(F.when(starts, START).otherwise(0) + F.when(ends, END).otherwise(0))
-
-
-def _spans(df: DataFrame, side: str) -> DataFrame:
-    """Chunks as strings ``start:end:type``. A chunk ends where the next border of its side is."""
-    parts, borders = f"_{side}_parts", f"_{side}_borders"
-    outside = F.array(F.struct(F.lit(O).alias("p"), F.lit("").alias("t")))
-    has = lambda code, bit: code.bitwiseAND(bit) != 0
-    starts = F.transform(
-        borders, lambda c, i: F.when(has(c, START), F.concat_ws(":", i.cast("string"), F.get(parts, i)["t"]))
-    )
-    ends = F.transform(borders, lambda c, i: F.when(has(c, END), i))
-    joined = F.zip_with(
-        F.array_compact(starts), F.array_compact(ends),
-        lambda s, e: F.concat_ws(":", F.substring_index(s, ":", 1), e.cast("string"), F.substr(s, F.instr(s, ":") + 1)),
-    )
-    return (
-        df.withColumn(parts, _parts(F.col(f"_{side}")))
-        .withColumn(borders, F.zip_with(F.concat(outside, parts), F.concat(parts, outside), _border))
-        .withColumn(f"_{side}_spans", joined)
-    )
+PREFIXES = {"B": B, "I": I, "E": E, "S": S, "O": O, ".": DOT}
+NO_TYPE = -1  # of a null tag; it differs from no other
+
+
+def _lists(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Elements of all rows and their number in each row."""
+    return values.flatten(), pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts_and_ends(prefix: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a chunk starts at each tag, and whether one ended just before; sentences end with an outside tag."""
+    last, last_kind = np.concatenate([[O], prefix[:-1]]), np.concatenate([[0], kind[:-1]])
+    is_in = lambda bits, some: (bits & some) != 0
+    changed = (last_kind != kind) & (last_kind != NO_TYPE) & (kind != NO_TYPE)
+    starts = is_in(prefix, B | S) | (is_in(last, E | S | O) & is_in(prefix, E | I)) | (changed & ~is_in(prefix, O | DOT))
+    ends = is_in(last, E | S) | (is_in(last, B | I) & is_in(prefix, B | S | O)) | (changed & ~is_in(last, O | DOT))
+    quiet = is_in(last, O) & is_in(prefix, O)
+    return starts & ~quiet, ends & ~quiet
+
+
+def _spans(tags: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of all sentences as strings ``start:end:type``, and their number in each. A sentence's next start and next end belong together."""
+    coded = tags.dictionary_encode()
+    parts = [t.partition("-") for t in coded.dictionary.to_pylist()]
+    kinds = sorted({""} | {k for _, _, k in parts})  # the empty type is the first
+    at = {k: i for i, k in enumerate(kinds)}
+    known = [*((PREFIXES.get(p, 0), at[k]) for p, _, k in parts), (0, NO_TYPE), (O, 0)]  # a null tag, and the end of a sentence
+    code = coded.indices.fill_null(len(parts)).to_numpy(zero_copy_only=False)
+    stops = np.cumsum(sizes)
+    prefix, kind = np.array(known, np.int64)[np.insert(code, stops, len(parts) + 1)].T
+    sentence = np.repeat(np.arange(len(sizes)), sizes + 1)
+    place = np.arange(len(prefix)) - (stops - sizes + np.arange(len(sizes)))[sentence]
+    borders = [np.flatnonzero(found) for found in _starts_and_ends(prefix, kind)]
+    number = [np.bincount(sentence[found], minlength=len(sizes)) for found in borders]
+    spans = np.maximum(*number)
+    columns = []
+    for found, n in zip(borders, number):
+        rank = np.arange(len(found)) - (np.cumsum(n) - n)[sentence[found]]
+        to = (np.cumsum(spans) - spans)[sentence[found]] + rank
+        column = np.full(int(spans.sum()), -1)
+        column[to] = found
+        columns.append(column)
+    start, end = (pa.array(np.where(c < 0, 0, place[c]), mask=c < 0).cast(pa.string()) for c in columns)
+    types = pa.array(kinds, pa.string()).take(pa.array(np.where(columns[0] < 0, 0, kind[columns[0]]), mask=columns[0] < 0))
+    return pc.binary_join_element_wise(start, end, types, ":", null_handling="skip"), spans
+
+
+def _rows(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def batch_chunks(hyps: pa.Array, golds: pa.Array) -> list[pa.Array]:
+    """``gold, guessed, correct, tokens, equal_tags`` of sentences whose sides are equally long."""
+    (hyp, sizes), (gold, _) = _lists(hyps), _lists(golds)
+    (gold_spans, gold_n), (hyp_spans, hyp_n) = (_spans(side, sizes) for side in (gold, hyp))
+    code = pa.concat_arrays([gold_spans, hyp_spans]).dictionary_encode()
+    sentence = np.concatenate([np.repeat(np.arange(len(sizes)), n) for n in (gold_n, hyp_n)])
+    key = sentence * max(1, len(code.dictionary)) + code.indices.to_numpy(zero_copy_only=False)
+    in_gold, in_hyp = pa.array(key[: len(gold_spans)]), pa.array(key[len(gold_spans) :])
+    shared = np.flatnonzero(pc.is_in(in_gold, value_set=in_hyp).to_numpy(zero_copy_only=False))
+    if pc.count_distinct(in_gold).as_py() < len(in_gold):  # odd tags only: no two chunks start at one tag
+        shared = np.intersect1d(shared, np.unique(key[: len(gold_spans)], return_index=True)[1])
+    same = pc.fill_null(pc.equal(gold, hyp), False).to_numpy(zero_copy_only=False)
+    within = np.repeat(np.arange(len(sizes)), sizes)
+    return [
+        _rows(gold_spans, gold_n), _rows(hyp_spans, hyp_n),
+        _rows(gold_spans.take(pa.array(shared)), np.bincount(sentence[shared], minlength=len(sizes))),
+        pa.array(sizes, pa.int32()), pa.array(np.bincount(within[same], minlength=len(sizes)), pa.int32()),
+    ]
 
 
 def sentence_chunks(df: DataFrame, hyp: str = "hyp", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,18 +105,23 @@ def sentence_chunks(df: DataFrame, hyp: str = "hyp", label: str = "label", keep:
     The longer side is cut. A missing prediction counts as all ``O``; a null label as empty.
     """
     gold = F.coalesce(F.col(label), F.array().cast("array<string>"))
-    sides = [F.coalesce(F.col(hyp), F.transform(gold, lambda t: F.lit("O"))), gold]
+    sides = [F.coalesce(F.col(hyp), F.array_repeat(F.lit("O"), F.size(gold))), gold]
     both = df.select(*keep, sides[0].alias("_hyp"), sides[1].alias("_gold"))
     shared = F.least(F.size("_hyp"), F.size("_gold"))
     cut = both.select(*keep, take(F.col("_hyp"), shared).alias("_hyp"), take(F.col("_gold"), shared).alias("_gold"))
-    spans = _spans(_spans(cut, "gold"), "hyp")
-    equal = F.filter(F.zip_with("_gold", "_hyp", lambda g, h: g == h), lambda x: x)
-    return spans.select(
-        *keep,
-        F.col("_gold_spans").alias("gold"), F.col("_hyp_spans").alias("guessed"),
-        F.array_intersect("_gold_spans", "_hyp_spans").alias("correct"),
-        F.size("_gold").alias("tokens"), F.size(equal).alias("equal_tags"),
-    )
+    names = ["gold", "guessed", "correct", "tokens", "equal_tags"]
+    kinds = [ArrayType(StringType())] * 3 + [IntegerType()] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            *kept, hyps, golds = b.columns
+            yield pa.RecordBatch.from_arrays([*kept, *batch_chunks(hyps, golds)], names=[*keep, *names])
+
+    bound_batches(df.sparkSession)
+    fields = [StructField(n, k) for n, k in zip(names, kinds)]
+    return cut.mapInArrow(run, StructType([*cut.schema.fields[: len(keep)], *fields]))
 
 
 def chunk_counts(df: DataFrame, hyp: str = "hyp", label: str = "label") -> DataFrame:
