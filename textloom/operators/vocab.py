@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.arrays import empty
-from ..session import shuffle_partitions, written
+from ..session import bound_batches, shuffle_partitions, written
 from . import ordering
 
+# The functions travel with the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Special tokens appended after the last vocabulary id, in this order (fixed values).
 SPECIAL_TOKENS = ["<bos>", "<|endoftext|>", "<speaker1>", "<speaker2>", "<pad>", "<cls>", "<sep>"]
 
@@ -86,6 +95,71 @@ def _lookup(rows: DataFrame, vocab: DataFrame, key: str, value: str, spread: Col
     )
 
 
+def _found_in_batch(arrays: list[pa.Array], keys: pa.Array, values: pa.Array, unknown=None) -> tuple[list[pa.Array], pa.Array]:
+    """Arrays with every element replaced, and for each row the last element that has no value. Where one array is null all are empty."""
+    size = len(arrays[0])
+    full = np.logical_and.reduce([a.is_valid().to_numpy(zero_copy_only=False) for a in arrays])
+    out, missing = [], np.full(size, None, object)
+    for a in arrays:
+        a = a if full.all() else a.take(pa.array(np.arange(size), mask=~full))
+        sizes = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+        code = a.flatten().dictionary_encode()
+        found = values.take(pc.index_in(code.dictionary, value_set=keys))
+        mapped = found.take(code.indices)
+        if found.null_count:
+            lost = np.flatnonzero(pc.fill_null(found.is_null().take(code.indices), False).to_numpy(zero_copy_only=False))
+            missing[np.repeat(np.arange(size), sizes)[lost]] = code.dictionary.take(code.indices.take(pa.array(lost))).cast(pa.string()).to_pylist()
+        if unknown is not None:
+            mapped = mapped.fill_null(unknown)
+        out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), mapped))
+    return out, pa.array(missing, pa.string())
+
+
+def _by_broadcast(
+    df: DataFrame, id_col: str, arrays: dict[str, Column], table: pa.Table, kind: str, on_unknown: str, unknown, keep: Sequence[str],
+) -> DataFrame:
+    """:func:`map_arrays` with a vocabulary of bounded size: rows stay whole, a batch of them is looked up at once."""
+    spark, n = df.sparkSession, len(arrays)
+    rows = df.select(
+        F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
+        *[a.alias(f"_array{i}") for i, a in enumerate(arrays.values())], F.monotonically_increasing_id().alias("_row"),
+    ).repartition(shuffle_partitions(spark), "_row").drop("_row")
+    shared = spark.sparkContext.broadcast([c.combine_chunks() for c in table.columns])
+    fill = {"bigint": int, "string": str}[kind](unknown) if on_unknown == "unk" and unknown is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = shared.value
+        for b in batches:
+            if b.num_rows:
+                mapped, missing = _found_in_batch(b.columns[-n:], keys, values, fill)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-n], *mapped, missing], names=[*b.schema.names, "_missing"])
+
+    bound_batches(spark)
+    held, wanted = rows.schema.fields[:-n], ArrayType(spark.range(0).select(F.lit(None).cast(kind).alias("v")).schema["v"].dataType)
+    schema = StructType([*held, *[StructField(f"_array{i}", wanted) for i in range(n)], StructField("_missing", StringType())])
+    found = rows.mapInArrow(run, schema)
+    checked = lambda c: F.col(c)
+    if on_unknown == "error":
+        failed = F.raise_error(F.concat(F.lit("unknown entry: "), F.col("_missing"))).cast(f"array<{kind}>")
+        checked = lambda c: F.when(F.col("_missing").isNotNull(), failed).otherwise(F.col(c))
+    return found.select(
+        F.col("_id").alias(id_col), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
+        *[checked(f"_array{i}").alias(name) for i, name in enumerate(arrays)],
+    )
+
+
+def _broadcastable(df: DataFrame, arrays: dict[str, Column], vocab: DataFrame, key: str, value: str, kind: str, most: int) -> pa.Table | None:
+    """The vocabulary, if it is small, one-to-one in its keys, and these are of the type of the elements."""
+    elements = df.select(*arrays.values()).schema.fields
+    if any(f.dataType != ArrayType(vocab.schema[key].dataType, f.dataType.containsNull) for f in elements):
+        return None
+    if table_bytes(vocab, key, value) > most:
+        return None
+    table = vocab.select(F.col(key).alias("k"), F.col(value).cast(kind).alias("v")).toArrow()
+    keys = table.column("k")
+    return table if keys.null_count == 0 and pc.count_distinct(keys).as_py() == len(keys) else None
+
+
 def _slotted(array: Column, slot: int, key: str) -> Column:
     """Array elements with the number of their array and their position."""
     return F.transform(
@@ -102,12 +176,18 @@ def map_arrays(
 
     The columns of ``keep`` travel with a row's first element.
 
-    A vocabulary of at most ``broadcast_bytes`` is broadcast: rows are partitioned by a key of their own before they are exploded,
-    so their values come back together with no second shuffle. For a larger one the arrays are written once, and both the
-    summary of frequent entries and the join read them from there.
+    A vocabulary of at most ``broadcast_bytes`` is broadcast, and rows stay whole: they are dealt out once and looked up a batch at a
+    time. If it repeats a key, rows are partitioned by a key of their own before they are exploded, so their values come back
+    together with no second shuffle. For a larger one the arrays are written once, and both the summary of frequent entries and
+    the join read them from there.
     ``on_unknown``: ``error``, ``null`` (element kept as null) or ``unk`` (``unknown`` is used).
     """
     kind = "bigint" if value == "token_id" else "string"
+    if on_unknown not in ("error", "null", "unk"):
+        raise ValueError(f"on_unknown must be error, null or unk, not {on_unknown!r}")
+    table = None if isinstance(unknown, Column) else _broadcastable(df, arrays, vocab, key, value, kind, broadcast_bytes)
+    if table is not None:
+        return _by_broadcast(df, id_col, arrays, table, kind, on_unknown, unknown, keep)
     tagged = F.concat(*[_slotted(col, slot, key) for slot, col in enumerate(arrays.values())])
     held = [F.struct(*keep).alias("_keep")] if keep else []
     rows = df.select(F.col(id_col), tagged.alias("_elements"), *held).withColumn("_row", F.monotonically_increasing_id())
@@ -132,8 +212,6 @@ def map_arrays(
         found = F.when(
             missing, F.raise_error(F.concat(F.lit("unknown entry: "), F.col(key).cast("string"))).cast(kind)
         ).otherwise(found)
-    elif on_unknown != "null":
-        raise ValueError(f"on_unknown must be error, null or unk, not {on_unknown!r}")
     columns = ["_keep"] if keep else []
     cells = joined.select(id_col, "_row", F.struct("slot", "pos", found.alias("v")).alias("cell"), *columns)
     carried = [F.first("_keep", ignorenulls=True).alias("_keep")] if keep else []
