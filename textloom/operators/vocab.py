@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.arrays import empty
 from ..session import bound_batches, shuffle_partitions, written
@@ -135,10 +135,18 @@ def _by_broadcast(
                 yield pa.RecordBatch.from_arrays([*b.columns[:-n], *mapped, missing], names=[*b.schema.names, "_missing"])
 
     bound_batches(spark)
-    held, wanted = rows.schema.fields[:-n], ArrayType(spark.range(0).select(F.lit(None).cast(kind).alias("v")).schema["v"].dataType)
-    schema = StructType([*held, *[StructField(f"_array{i}", wanted) for i in range(n)], StructField("_missing", StringType())])
-    found = rows.mapInArrow(run, schema)
-    checked = lambda c: F.col(c)
+    return _checked(rows.mapInArrow(run, _mapped_schema(rows, n, kind)), id_col, arrays, kind, on_unknown, keep)
+
+
+def _mapped_schema(rows: DataFrame, n: int, kind: str, behind: int = 0) -> StructType:
+    """The columns of ``rows`` before their ``n`` arrays (and ``behind`` columns at the end), arrays of ``kind`` and the missing entry."""
+    wanted = ArrayType({"bigint": LongType(), "string": StringType()}[kind])
+    held = rows.schema.fields[: len(rows.columns) - n - behind]
+    return StructType([*held, *[StructField(f"_array{i}", wanted) for i in range(n)], StructField("_missing", StringType())])
+
+
+def _checked(found: DataFrame, id_col: str, arrays: dict[str, Column], kind: str, on_unknown: str, keep: Sequence[str]) -> DataFrame:
+    checked = F.col
     if on_unknown == "error":
         failed = F.raise_error(F.concat(F.lit("unknown entry: "), F.col("_missing"))).cast(f"array<{kind}>")
         checked = lambda c: F.when(F.col("_missing").isNotNull(), failed).otherwise(F.col(c))
@@ -148,16 +156,65 @@ def _by_broadcast(
     )
 
 
-def _broadcastable(df: DataFrame, arrays: dict[str, Column], vocab: DataFrame, key: str, value: str, kind: str, most: int) -> pa.Table | None:
-    """The vocabulary, if it is small, one-to-one in its keys, and these are of the type of the elements."""
-    elements = df.select(*arrays.values()).schema.fields
-    if any(f.dataType != ArrayType(vocab.schema[key].dataType, f.dataType.containsNull) for f in elements):
-        return None
-    if table_bytes(vocab, key, value) > most:
-        return None
-    table = vocab.select(F.col(key).alias("k"), F.col(value).cast(kind).alias("v")).toArrow()
-    keys = table.column("k")
-    return table if keys.null_count == 0 and pc.count_distinct(keys).as_py() == len(keys) else None
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_block``, written once: the rows of one Arrow batch are a block."""
+    bits = ordering.PLACE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << bits
+        for i, b in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, first + i))], names=[*b.schema.names, "_block"])
+
+    bound_batches(rows.sparkSession)
+    return written(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_block", LongType())])), "elements")
+
+
+def _by_blocks(
+    df: DataFrame, id_col: str, arrays: dict[str, Column], vocab: DataFrame, key: str, value: str, kind: str, on_unknown: str, unknown, keep: Sequence[str],
+) -> DataFrame:
+    """:func:`map_arrays` with a vocabulary of any size: the distinct entries of each block of rows meet the vocabulary, and their values the rows."""
+    n, entry = len(arrays), vocab.schema[key].dataType
+    rows = _blocks(df.select(
+        F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
+        *[a.alias(f"_array{i}") for i, a in enumerate(arrays.values())],
+    ))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *columns, block = b.columns
+            for number in block.unique():
+                mine = pc.equal(block, number)
+                every = pa.concat_arrays([a.filter(mine).flatten() for a in columns]).unique().drop_null()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(every), number.as_py())), every], names=["_block", key])
+
+    each = rows.select(*[f"_array{i}" for i in range(n)], "_block").mapInArrow(distinct, StructType([StructField("_block", LongType()), StructField(key, entry)]))
+    values = vocab.select(F.col(key), F.col(value).cast(kind).alias(value))
+    found = _lookup(written(each, "entries"), values, key, value, F.col("_block")).select(F.col("_block"), F.col(key).alias("k"), F.col(value).alias("v"))
+    fill = {"bigint": int, "string": str}[kind](unknown) if on_unknown == "unk" and unknown is not None else None
+    held = rows.columns[: -n - 1]
+
+    def put(block: pa.Table, entries: pa.Table) -> pa.Table:
+        block, entries = block.combine_chunks(), entries.combine_chunks()
+        whole = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
+        mapped, missing = _found_in_batch(
+            [whole(block.column(f"_array{i}")) for i in range(n)], whole(entries.column("k")), whole(entries.column("v")), fill
+        )
+        return pa.table([*[block.column(c) for c in held], *mapped, missing], names=[*held, *[f"_array{i}" for i in range(n)], "_missing"])
+
+    together = rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(put, _mapped_schema(rows, n, kind, 1))
+    return _checked(together, id_col, arrays, kind, on_unknown, keep)
+
+
+def _repeats_a_key(vocab: DataFrame, key: str) -> bool:
+    return not vocab.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _same_types(df: DataFrame, arrays: dict[str, Column], vocab: DataFrame, key: str) -> bool:
+    """Whether the elements have the type of the vocabulary's keys."""
+    fields = df.select(*arrays.values()).schema.fields
+    return all(isinstance(f.dataType, ArrayType) and f.dataType.elementType == vocab.schema[key].dataType for f in fields)
 
 
 def _slotted(array: Column, slot: int, key: str) -> Column:
@@ -178,16 +235,22 @@ def map_arrays(
 
     A vocabulary of at most ``broadcast_bytes`` is broadcast, and rows stay whole: they are dealt out once and looked up a batch at a
     time. If it repeats a key, rows are partitioned by a key of their own before they are exploded, so their values come back
-    together with no second shuffle. For a larger one the arrays are written once, and both the summary of frequent entries and
-    the join read them from there.
+    together with no second shuffle. For a larger one the arrays are written once in blocks of rows. The distinct entries of each
+    block are looked up, the frequent ones by a summary and the others by shuffle, and meet their block again.
     ``on_unknown``: ``error``, ``null`` (element kept as null) or ``unk`` (``unknown`` is used).
     """
     kind = "bigint" if value == "token_id" else "string"
     if on_unknown not in ("error", "null", "unk"):
         raise ValueError(f"on_unknown must be error, null or unk, not {on_unknown!r}")
-    table = None if isinstance(unknown, Column) else _broadcastable(df, arrays, vocab, key, value, kind, broadcast_bytes)
-    if table is not None:
-        return _by_broadcast(df, id_col, arrays, table, kind, on_unknown, unknown, keep)
+    small = table_bytes(vocab, key, value) <= broadcast_bytes
+    if not isinstance(unknown, Column) and _same_types(df, arrays, vocab, key):
+        if small:
+            table = vocab.select(F.col(key).alias("k"), F.col(value).cast(kind).alias("v")).toArrow()
+            keys = table.column("k")
+            if keys.null_count == 0 and pc.count_distinct(keys).as_py() == len(keys):
+                return _by_broadcast(df, id_col, arrays, table, kind, on_unknown, unknown, keep)
+        elif not _repeats_a_key(vocab, key):
+            return _by_blocks(df, id_col, arrays, vocab, key, value, kind, on_unknown, unknown, keep)
     tagged = F.concat(*[_slotted(col, slot, key) for slot, col in enumerate(arrays.values())])
     held = [F.struct(*keep).alias("_keep")] if keep else []
     rows = df.select(F.col(id_col), tagged.alias("_elements"), *held).withColumn("_row", F.monotonically_increasing_id())
@@ -200,7 +263,7 @@ def map_arrays(
         each = held.select(id_col, "_row", "_keep", F.posexplode_outer("_elements").alias("_at", "e"))
         return each.select(id_col, "_row", *with_first, "e.*")
 
-    if table_bytes(vocab, key, value) <= broadcast_bytes:
+    if small:
         joined = elements(rows.repartition(shuffle_partitions(df.sparkSession), "_row")).join(F.broadcast(vocab.select(key, value)), key, "left")
     else:
         joined = _lookup(elements(written(rows, "elements")), vocab, key, value, F.struct("_row", "pos"))
