@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.arrays import empty
 from ..session import bound_batches, shuffle_partitions, written
@@ -95,8 +95,13 @@ def _lookup(rows: DataFrame, vocab: DataFrame, key: str, value: str, spread: Col
     )
 
 
-def _found_in_batch(arrays: list[pa.Array], keys: pa.Array, values: pa.Array, unknown=None) -> tuple[list[pa.Array], pa.Array]:
-    """Arrays with every element replaced, and for each row the last element that has no value. Where one array is null all are empty."""
+def _found_in_batch(
+    arrays: list[pa.Array], keys: pa.Array, values: pa.Array, unknown=None, texts: pa.Array | None = None,
+) -> tuple[list[pa.Array], pa.Array]:
+    """Arrays with every element replaced, and for each row the last element that has no value, by its text in ``texts`` if given.
+
+    Where one array is null all are empty.
+    """
     size = len(arrays[0])
     full = np.logical_and.reduce([a.is_valid().to_numpy(zero_copy_only=False) for a in arrays])
     out, missing = [], np.full(size, None, object)
@@ -104,11 +109,13 @@ def _found_in_batch(arrays: list[pa.Array], keys: pa.Array, values: pa.Array, un
         a = a if full.all() else a.take(pa.array(np.arange(size), mask=~full))
         sizes = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
         code = a.flatten().dictionary_encode()
-        found = values.take(pc.index_in(code.dictionary, value_set=keys))
+        at = pc.index_in(code.dictionary, value_set=keys)
+        found = values.take(at)
         mapped = found.take(code.indices)
         if found.null_count:
             lost = np.flatnonzero(pc.fill_null(found.is_null().take(code.indices), False).to_numpy(zero_copy_only=False))
-            missing[np.repeat(np.arange(size), sizes)[lost]] = code.dictionary.take(code.indices.take(pa.array(lost))).cast(pa.string()).to_pylist()
+            names = code.dictionary.cast(pa.string()) if texts is None else texts.take(at)
+            missing[np.repeat(np.arange(size), sizes)[lost]] = names.take(code.indices.take(pa.array(lost))).to_pylist()
         if unknown is not None:
             mapped = mapped.fill_null(unknown)
         out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), mapped))
@@ -156,8 +163,10 @@ def _checked(found: DataFrame, id_col: str, arrays: dict[str, Column], kind: str
     )
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``_block``, written once: the rows of one Arrow batch are a block."""
+def _blocks(rows: DataFrame, n: int, entry: DataType) -> DataFrame:
+    """``rows``, written once, the rows of one Arrow batch being a ``_block``: their last ``n`` columns, arrays, hold numbers of
+    the distinct entries of the block, and its first row has these in ``_entries``.
+    """
     bits = ordering.PLACE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,33 +174,39 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
         first = TaskContext.get().partitionId() << bits
         for i, b in enumerate(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, first + i))], names=[*b.schema.names, "_block"])
+            if not (size := b.num_rows):
+                continue
+            arrays, coded, at = b.columns[-n:], [], 0
+            code = pa.concat_arrays([a.flatten() for a in arrays]).dictionary_encode()
+            for a in arrays:
+                upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False))])
+                coded.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), code.indices.slice(at, upto[-1]), mask=a.is_null()))
+                at += int(upto[-1])
+            only_first = pa.array(np.arange(size) > 0)
+            entries = pa.ListArray.from_arrays(pa.array([0] + size * [len(code.dictionary)], pa.int32()), code.dictionary, mask=only_first)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-n], *coded, pa.array(np.full(size, first + i)), entries], names=[*b.schema.names, "_block", "_entries"]
+            )
 
     bound_batches(rows.sparkSession)
-    return written(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_block", LongType())])), "elements")
+    fields = [*rows.schema.fields[:-n], *[StructField(c, ArrayType(IntegerType())) for c in rows.columns[-n:]]]
+    schema = StructType([*fields, StructField("_block", LongType()), StructField("_entries", ArrayType(entry))])
+    return written(rows.mapInArrow(run, schema), "elements")
 
 
 def _by_blocks(
     df: DataFrame, id_col: str, arrays: dict[str, Column], vocab: DataFrame, key: str, value: str, kind: str, on_unknown: str, unknown, keep: Sequence[str],
 ) -> DataFrame:
     """:func:`map_arrays` with a vocabulary of any size: the distinct entries of each block of rows meet the vocabulary, and their values the rows."""
-    n, entry = len(arrays), vocab.schema[key].dataType
-    rows = _blocks(df.select(
+    n = len(arrays)
+    blocks = _blocks(df.select(
         F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
         *[a.alias(f"_array{i}") for i, a in enumerate(arrays.values())],
-    ))
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            *columns, block = b.columns
-            for number in block.unique():
-                mine = pc.equal(block, number)
-                every = pa.concat_arrays([a.filter(mine).flatten() for a in columns]).unique().drop_null()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(every), number.as_py())), every], names=["_block", key])
-
-    each = rows.select(*[f"_array{i}" for i in range(n)], "_block").mapInArrow(distinct, StructType([StructField("_block", LongType()), StructField(key, entry)]))
+    ), n, vocab.schema[key].dataType)
+    rows, each = blocks.drop("_entries"), blocks.select("_block", F.posexplode("_entries").alias("_code", key))
     values = vocab.select(F.col(key), F.col(value).cast(kind).alias(value))
-    found = _lookup(written(each, "entries"), values, key, value, F.col("_block")).select(F.col("_block"), F.col(key).alias("k"), F.col(value).alias("v"))
+    lost = F.when(F.col(value).isNull(), F.col(key).cast("string"))
+    found = _lookup(each, values, key, value, F.col("_block")).select(F.col("_block").alias("_of"), "_code", F.col(value).alias("v"), lost.alias("lost"))
     fill = {"bigint": int, "string": str}[kind](unknown) if on_unknown == "unk" and unknown is not None else None
     held = rows.columns[: -n - 1]
 
@@ -199,11 +214,11 @@ def _by_blocks(
         block, entries = block.combine_chunks(), entries.combine_chunks()
         whole = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
         mapped, missing = _found_in_batch(
-            [whole(block.column(f"_array{i}")) for i in range(n)], whole(entries.column("k")), whole(entries.column("v")), fill
+            [whole(block.column(f"_array{i}")) for i in range(n)], *(whole(entries.column(c)) for c in ("_code", "v")), fill, whole(entries.column("lost")),
         )
         return pa.table([*[block.column(c) for c in held], *mapped, missing], names=[*held, *[f"_array{i}" for i in range(n)], "_missing"])
 
-    together = rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(put, _mapped_schema(rows, n, kind, 1))
+    together = rows.groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(put, _mapped_schema(rows, n, kind, 1))
     return _checked(together, id_col, arrays, kind, on_unknown, keep)
 
 
