@@ -153,3 +153,21 @@ def test_plain_strings_are_read_as_literals(cell):
     if found is not None:
         assert found == list(ast.literal_eval(cell))
     assert (found is not None) == (cell in {"['a',]", "['a' , \"it's\"\t]", "[]", "['']", "[\"a\\\"b\", 'c\\\\']", "['a',\n 'b']", "['é ']"})
+
+
+def test_joined_without_a_function_per_element(spark):
+    from textloom.catalogue.inputs import joined
+
+    df = spark.sql("select array(1L, null, -3L) a, array(1.5D, 1e20D, double('nan')) b, array('x', '', null) c, cast(null as array<int>) d, cast(array() as array<float>) e")
+    out = df.select(*[joined(F.col(c)).alias(c) for c in df.columns])
+    assert tuple(out.head()) == ("1 -3", "1.5 1.0E20 NaN", "x ", None, "")
+    assert "lambda" not in out._jdf.queryExecution().toString()
+
+
+def test_pieces_from_lengths_alone(spark):
+    from textloom.catalogue.tokens import pieces
+
+    df = spark.createDataFrame([(1, ["a", "abcd", "abcde", "é😀x", "x" * 12]), (2, []), (3, None)], "id int, w array<string>")
+    out = df.select("id", pieces(F.col("w")).alias("p")).sort("id")
+    assert [r.p for r in out.collect()] == [[[11], [14], [14, 51], [13], [14, 54, 94]], [], None]
+    assert "substr" not in out._jdf.queryExecution().toString()

@@ -43,7 +43,7 @@ def repeated(spark: SparkSession, folder: str) -> DataFrame:
 
 def joined(array: Column, separator: str = " ") -> Column:
     """Array -> text, so that a value does not depend on an engine's list type."""
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), separator)
+    return F.array_join(array.cast("array<string>"), separator)
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -132,10 +132,10 @@ def decode_without_specials(spark, folder):
 # Stand-in sub-words: pieces of up to four characters, coded by place and length.
 def pieces(words):
     return F.transform(
-        words,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w), F.lit(4)),
-            lambda p: (p * 10 + F.length(F.substr(w, p, F.lit(4)))).cast("bigint"),
+        F.transform(words, F.length),
+        lambda n: F.transform(
+            F.sequence(F.lit(1), n, F.lit(4)),
+            lambda p: (p * 10 + F.least(F.lit(4), n - p + 1)).cast("bigint"),
         ),
     )
 
