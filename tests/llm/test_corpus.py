@@ -205,6 +205,53 @@ def test_tree_matching_keeps_order_and_labels():
     assert html_extraction.match(a, b)[0] == 4
 
 
+def _plain_match(a, b):
+    """Simple tree matching as it is written down, with every pair of siblings and the whole table."""
+    if a[0] != b[0]:
+        return 0, []
+    left, right = a[1], b[1]
+    found = [[_plain_match(x, y) for y in right] for x in left]
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i in range(len(left)):
+        for j in range(len(right)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + found[i][j][0])
+    pairs, i, j = [(id(a), id(b))], len(left), len(right)
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs += found[i][j][1]
+    return best[-1][-1] + 1, pairs
+
+
+def test_tree_matching_is_one_for_all_widths():
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        return [str(rng.choice(list("abc"))), [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []]
+
+    for width in (0, 1, 3, 30, 99, 120, 205):  # the last has more than 40,000 pairs of siblings
+        a, b = (["r", [tree(2) for _ in range(n)]] for n in (width, width + 2))
+        got, want = html_extraction.match(a, b), _plain_match(a, b)
+        assert got[0] == want[0] == len(want[1]) and sorted(got[1]) == sorted(want[1])
+
+
+def test_constant_text_in_wide_pages_is_template(spark):
+    """The parts of very wide elements differ from page to page, but their constant lines stand in one node."""
+    more = ["", "<ul><li>own {0}</ul>", "<ul><li>own {0}</ul><pre>more {0}</pre>"]
+    part = "<div class={1}><p>line {0}</p><h4>Read our terms</h4>{2}</div>"
+    rows = []
+    for k, extra in enumerate(more):
+        parts = "".join(part.format(f"n{k}x{i}", "ab"[i % 2], extra.format(f"n{k}x{i}")) for i in range(210))
+        rows.append((k, f"http://h.org/{k}", f"<html><body>{parts}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    assert all("Read our terms" not in t and t.count("line n") == 210 for t in texts.values())
+
+
 def test_near_copies_of_pipeline(spark):
     rng = np.random.default_rng(5)
     rows, base = [], 0
