@@ -343,3 +343,36 @@ def test_grouped_counts_keep_their_partitions(spark):
         assert counts.rdd.getNumPartitions() == 7 and {(r.w_m1, r.w_m2) for r in counts.collect()} == {(2, 1)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _unpadded(texts):
+    """An array whose buffer goes on with bytes that are no text, as one of a larger message may."""
+    data, ends = "".join(texts).encode(), np.cumsum([0, *(len(t.encode()) for t in texts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.tobytes()), pa.py_buffer(data + b"\xff" * 64).slice(0, len(data)))
+
+
+def test_white_space_at_the_end_of_a_batch():
+    """Arrow's split alone leaves the space on the last word."""
+    found = overlap.batch_matches(_unpadded(["a b", "c d "]), _unpadded(["a b ", "c d\n"]), (1, 2))
+    assert [c.tolist() for c in found] == [[2, 2], [2, 2], [2, 2], [1, 1]]
+
+
+def test_groups_are_counted_by_integers(spark, monkeypatch):
+    """Rows of an id count as one, also a null id's; n-grams are exploded only for an id with very much text."""
+    rnd = random.Random(6)
+    text = lambda: " ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))) + rnd.choice(["", " "])
+    rows = [(rnd.choice([None, *range(30)]), text(), text()) for _ in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, hyp string, label string").repartition(5)
+    want = {}
+    for i in {r[0] for r in rows}:
+        sides = [[t.split() for t in side] for side in zip(*[r[1:] for r in rows if r[0] == i])]
+        grams = lambda t, n: sum((Counter(zip(*(x[k:] for k in range(n)))) for x in t), Counter())
+        want[i] = tuple(sum((grams(sides[0], n) & grams(sides[1], n)).values()) for n in (1, 3)) + tuple(sum(map(len, t)) for t in sides)
+    scheme = {"w": overlap.Scheme(F.lower, (1, 3))}
+    for limit, part in ((overlap.GROUP_BYTES, overlap.PART_BYTES), (40, 10), (0, 1)):
+        monkeypatch.setattr(overlap, "GROUP_BYTES", limit)
+        monkeypatch.setattr(overlap, "PART_BYTES", part)
+        counts = overlap.ngram_overlap(df, scheme, method="group")
+        assert {r.id: (r.w_m1, r.w_m3, r.w_hyp, r.w_ref) for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Window" in plan

@@ -6,11 +6,23 @@ damaged, rotated hypothesis; ``tagged`` into two tag sequences; and so on.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import words
+from ..functions.text import split_words, words
 from ..operators.dialogue import pair_turns
+from ..session import bound_batches
+
+# The functions travel with the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LANGUAGES = ["de", "en", "es", "fr"]
 TAGS = ["B-X", "I-X", "B-Y", "I-Y", "O"]
@@ -46,20 +58,40 @@ def joined(array: Column, separator: str = " ") -> Column:
     return F.array_join(array.cast("array<string>"), separator)
 
 
+def _damaged(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """Words of each text without one in seven and with "zz" for one in five, by place and id; the first five moved to the end, eleven a line."""
+    size = len(texts)
+    parts = split_words(texts.cast(pa.large_string()))
+    row = np.repeat(np.arange(size), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+    flat = parts.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    flat, row = flat.filter(pa.array(full)), row[full]
+    place = lambda rows: np.arange(len(rows)) - np.searchsorted(rows, rows)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)[row]
+    number = place(row) + ids.fill_null(0).to_numpy(zero_copy_only=False)[row]
+    kept = ~known | (number % 7 != 0)
+    swapped = pa.array((known & (np.fmod(number, 5) == 1))[kept])
+    flat, row = pc.if_else(swapped, pa.scalar("zz", flat.type), flat.filter(pa.array(kept))), row[kept]
+    count = np.bincount(row, minlength=size)
+    at, first, n = place(row), (np.cumsum(count) - count)[row], count[row]
+    # Of five words or fewer all are moved, so they stay as they are.
+    moved = flat.take(pa.array(first + np.where(n > 5, (at + 5) % np.maximum(n, 1), at)))
+    ends = pc.if_else(pa.array(at % 11 == 10), pa.scalar("\n", flat.type), pa.scalar(" ", flat.type))
+    lined = pc.binary_join_element_wise(moved, ends, pa.scalar("", flat.type))
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)])), lined), pa.scalar("", flat.type))
+    return pc.if_else(texts.is_valid(), joined.cast(pa.string()), pa.scalar(None, pa.string()))
+
+
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """``(id, label, hyp)``: label is the whole text."""
-    damaged = F.transform(
-        words(F.col("text")),
-        lambda w, i: F.when((i + F.col("id")) % 7 == 0, F.lit(None)).when((i + F.col("id")) % 5 == 1, "zz").otherwise(w),
-    )
-    kept = F.filter("damaged", lambda w: w.isNotNull())
-    rotated = F.concat(F.slice("kept", F.lit(6), F.greatest(F.size("kept"), F.lit(1))), F.slice("kept", 1, 5))
-    lined = F.transform("rotated", lambda w, i: F.concat(w, F.when(i % 11 == 10, "\n").otherwise(" ")))
-    return (
-        documents(spark, folder).select("id", F.col("text").alias("label"), damaged.alias("damaged"))
-        .withColumn("kept", kept).withColumn("rotated", rotated)
-        .select("id", "label", F.array_join(lined, "").alias("hyp"))
-    )
+    docs = documents(spark, folder).select("id", F.col("text").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, _damaged(*b.columns)], names=["id", "label", "hyp"])
+
+    bound_batches(spark)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("hyp", StringType())]))
 
 
 def lengths(text: Column) -> Column:

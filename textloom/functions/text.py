@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import in_steps
 
+# The functions travel with the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values -------------------------------------------------------------------------
 # White space as Python's str.split() knows it: Unicode white space plus four separators.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -89,6 +96,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITESPACE), "")
 
 
+def split_words(texts: pa.Array) -> pa.Array:
+    """White-space words of a batch; a text may have empty ones first.
+
+    The ends are trimmed since Arrow's split reads on behind white space at the end of a text, and misses it if no text follows in the
+    buffer but other bytes.
+    """
+    return pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(texts))
+
+
 def lower_words(text: Column) -> Column:
     return words(F.lower(text))
 
