@@ -57,6 +57,15 @@ def test_v13a(spark, text, tokens):
     assert value(spark, T.v13a_tokens(F.col("x")), x=text) == tokens
 
 
+def test_v13a_needs_no_pattern_in_the_row(spark):
+    """Its patterns run on whole batches, in one function for all texts of a table."""
+    df = spark.createDataFrame([("x.\u2003\n", "a,b"), (None, "")], "x string, y string")
+    found = df.select(T.v13a_text(F.col("x")).alias("x"), T.v13a_text(F.col("y")).alias("y"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in found.collect()] == [(" x . ", " a , b "), (None, "  ")]
+
+
 def test_normalisers(spark):
     assert value(spark, T.rouge_tokens(F.col("x")), x="Été: it's 3-fold!") == ["t", "it", "s", "3", "fold"]
     assert value(spark, T.normalise_answer(F.col("x")), x="The cat, a  hat.") == "cat hat"

@@ -376,3 +376,10 @@ def test_groups_are_counted_by_integers(spark, monkeypatch):
         assert {r.id: (r.w_m1, r.w_m3, r.w_hyp, r.w_ref) for r in counts.collect()} == want
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "Window" in plan
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), min_size=1, max_size=14), st.lists(st.sampled_from("abcdef"), min_size=1, max_size=9))
+def test_walk_by_the_other_line(ref, line):
+    by_ref = rouge._matched_positions(ref, rouge._columns_of(line), len(line))
+    assert rouge._matched_by_line(line, rouge._columns_of(ref), len(ref)) == by_ref

@@ -9,7 +9,6 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -85,6 +84,32 @@ def _matched_positions(ref: Sequence[str], where: dict[str, int], width: int) ->
     return found
 
 
+def _matched_by_line(line: Sequence[str], where: dict[str, int], width: int) -> list[int]:
+    """:func:`_matched_positions` of a reference line, from the bit sets of its ``width`` tokens: one step for each token of the other ``line``.
+
+    At a token the walk goes up to the last position before it that holds the token, or where the row counts one more; there it
+    takes the position, or goes left.
+    """
+    row = full = (1 << width) - 1
+    rows = []
+    for token in line:
+        bits = where.get(token, 0)
+        hit = row & bits
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+        rows.append((bits, bits | (row ^ full)))
+    upto, found = full, []
+    for bits, stops in reversed(rows):
+        at = (stops & upto).bit_length()
+        if not at:
+            break
+        upto = (1 << at) - 1
+        if bits >> (at - 1) & 1:
+            found.append(at - 1)
+            upto >>= 1
+    return found
+
+
 def union_hits(ref_lines: list[list[str]], hyp_lines: list[list[str]]) -> int:
     """Summary-level hits: per reference line the union of its LCS with every hypothesis line.
 
@@ -104,28 +129,32 @@ def union_hits(ref_lines: list[list[str]], hyp_lines: list[list[str]]) -> int:
     for line in ref_lines:
         union: set[int] = set()
         seen: set[int] = set()
-        for i in sorted(range(len(line)), key=lambda i: len(holders.get(line[i], ()))):
-            for n in holders.get(line[i], ()):
+        held, own = [holders.get(token, ()) for token in line], _columns_of(line)
+        for i in sorted(range(len(line)), key=[len(h) for h in held].__getitem__):
+            for n in held[i]:
                 if i in union:
                     break
                 if n not in seen:
                     seen.add(n)
-                    union.update(_matched_positions(line, places[n], len(hyp_lines[n])))
+                    if len(hyp_lines[n]) < len(line):  # the same positions, in fewer steps
+                        union.update(_matched_by_line(hyp_lines[n], own, len(line)))
+                    else:
+                        union.update(_matched_positions(line, places[n], len(hyp_lines[n])))
         matched.update(line[i] for i in union)
     return sum(min(n, available[token]) for token, n in matched.items())
 
 
-@F.pandas_udf(LongType())
-def lcs_of_texts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def lcs_of_texts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """LCS length of two texts already normalised to space-separated tokens."""
-    return pd.Series([lcs_length(h.split(), r.split()) for h, r in zip(hyp, ref)], dtype="int64")
+    return pa.array([lcs_length(h.split(), r.split()) for h, r in zip(hyp.to_pylist(), ref.to_pylist())], pa.int64())
 
 
-@F.pandas_udf(LongType())
-def union_hits_of_lines(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def union_hits_of_lines(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Summary-level hits of two arrays of normalised lines."""
     split = lambda lines: [line.split() for line in lines]
-    return pd.Series([union_hits(split(r), split(h)) for h, r in zip(hyp, ref)], dtype="int64")
+    return pa.array([union_hits(split(r), split(h)) for h, r in zip(hyp.to_pylist(), ref.to_pylist())], pa.int64())
 
 
 def lines(text: Column) -> Column:
