@@ -1,6 +1,8 @@
+import os
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.catalogue import files
 from textloom.plans import tasks
@@ -263,3 +265,29 @@ def test_tagged_ids_over_as_many_files_as_the_shuffle(spark, tmp_path, monkeypat
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(list((tmp_path / "tagged").glob("part-*"))) == 7
+
+
+def test_rows_are_numbered_where_they_are_read(spark, tmp_path):
+    """No row is shuffled for its number, whatever the splits; compressed files are read as well."""
+    from textloom.sources import files
+
+    for n, name in enumerate(["a", "b", "c"]):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(40 + n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70")
+        odd = (F.substring("value", -1, 1).cast("int") % 2 == 1)
+        rows = files.number_rows(files.mark_position(spark.read.text(str(tmp_path))), "line", odds=odd)
+        got = sorted((r.line, r.value, r.odds) for r in rows.where("value not like 'a1%'").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    lines = [f"{name}{i}" for n, name in enumerate("abc") for i in range(40 + n)]
+    want = [(k, v, sum(int(x[-1]) % 2 for x in lines[:k])) for k, v in enumerate(lines) if not v.startswith("a1")]
+    assert got == want
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Window [") == 1
+    path = str(tmp_path / "packed")
+    packed = spark.createDataFrame([(str(i), "t\n}", "l" * i) for i in range(30)], "id string, text string, label string").repartition(3)
+    sinks.write_json_array(packed, path, compression="gzip")
+    assert all(f.endswith(".gz") for f in os.listdir(path) if f.startswith("part-"))
+    assert sorted(readers.read_parallel(spark, path).collect()) == sorted(packed.collect())

@@ -32,8 +32,11 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv", overwrite: boo
         df.write.mode(_mode(overwrite)).format(fmt).save(path)
 
 
-def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One JSON array of objects per partition, as other tools expect it; the rows stay in their partitions."""
+def write_json_array(df: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
+    """One JSON array of objects per partition, as other tools expect it; the rows stay in their partitions.
+
+    A compressed file takes a fraction of the space and is read whole by one task, so its partition should not be large.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -50,7 +53,7 @@ def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
     bound_batches(df.sparkSession)
     objects = df.select(F.to_json(F.struct("*")).alias("value"))
-    objects.mapInArrow(run, "value string").write.mode(_mode(overwrite)).text(path)
+    objects.mapInArrow(run, "value string").write.mode(_mode(overwrite)).option("compression", compression).text(path)
 
 
 def write_metric_summary(
