@@ -38,7 +38,7 @@ id_pairs as (select s.id, coalesce(ex.x, []) x, coalesce(ey.y, []) y from s left
 def prepare_task_batches(spark, folder):
     """A translation task from its JSON arrays to padded batches, source and target swapped."""
     path = scratch_path(spark, "task")
-    sinks.write_json_array(I.pairs(spark, folder).select(F.col("id").cast("string").alias("id"), F.col("hyp").alias("text"), "label"), path)
+    sinks.write_json_array(I.pairs(spark, folder).select(F.col("id").cast("string").alias("id"), F.col("hyp").alias("text"), "label"), path, compression="gzip")
     rows = readers.read_parallel(spark, path)
     known = vocab.build_vocab(rows.select(F.explode(F.concat(lower_words(F.col("text")), lower_words(F.col("label")))).alias("token")))
     out = prepare_task(spark, "mt-sunibs-inzntv-swap", path=path, vocab=known, ids=LayoutIds(max_len=CAP))
